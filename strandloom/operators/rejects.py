@@ -13,6 +13,8 @@ lines cannot overflow a regex matcher.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def _index(a: Column) -> Column:
     return F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("s")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often, and inside whatever lambda, it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def line_kind(line: Column) -> Column:
     """``empty``, ``comment``, ``browser``, ``track`` or ``annotation``; null lines are ``empty``."""
     s = _strip(line)
@@ -50,30 +57,35 @@ def line_kind(line: Column) -> Column:
 
 def quoted_ok(line: Column) -> Column:
     """Whether all wrapped fields of a tab-separated line open, close and end properly."""
-    parts = F.split(line, '"', -1)
-    n = F.size(parts) - 1  # number of quotes
 
-    def part_ok(p: Column) -> Column:
-        i, s = p["i"], p["s"]
-        opens = F.when(i == 0, (s == "") | s.endswith("\t")).otherwise(s.startswith("\t") & s.endswith("\t"))
-        closes = (s == "") | s.startswith("\t")
-        return (i % 2 == 1) | F.when(i == n, (i == 0) | closes).otherwise((s == "") & (i > 0) | opens)
+    def parts_ok(parts: Column) -> Column:
+        n = F.size(parts) - 1  # number of quotes
 
-    return (n % 2 == 0) & F.forall(_index(parts), part_ok)
+        def part_ok(p: Column) -> Column:
+            i, s = p["i"], p["s"]
+            opens = F.when(i == 0, (s == "") | s.endswith("\t")).otherwise(s.startswith("\t") & s.endswith("\t"))
+            closes = (s == "") | s.startswith("\t")
+            return (i % 2 == 1) | F.when(i == n, (i == 0) | closes).otherwise((s == "") & (i > 0) | opens)
+
+        return (n % 2 == 0) & F.forall(_index(parts), part_ok)
+
+    return let(F.split(line, '"', -1), parts_ok)
 
 
 def unwrap_fields(line: Column) -> Column:
     """array<string>: the fields of a line for which ``quoted_ok`` holds, unwrapped."""
-    parts = F.split(line, '"', -1)
-    n = F.size(parts) - 1
 
-    def piece(p: Column) -> Column:
-        i, s = p["i"], p["s"]
-        return F.when(i % 2 == 1, F.translate(s, "\t", HIDDEN_TAB)).when((i > 0) & (i < n) & (s == ""), '"').otherwise(s)
+    def rebuilt(parts: Column) -> Column:
+        n = F.size(parts) - 1
+
+        def piece(p: Column) -> Column:
+            i, s = p["i"], p["s"]
+            return F.when(i % 2 == 1, F.translate(s, "\t", HIDDEN_TAB)).when((i > 0) & (i < n) & (s == ""), '"').otherwise(s)
 
-    plain = F.array_join(F.transform(_index(parts), piece), "")
-    wrapped = F.transform(F.split(plain, "\t", -1), lambda f: F.translate(f, HIDDEN_TAB, "\t"))
-    return F.when(n == 0, F.split(line, "\t", -1)).otherwise(wrapped)
+        return F.array_join(F.transform(_index(parts), piece), "")
+
+    wrapped = F.transform(F.split(let(F.split(line, '"', -1), rebuilt), "\t", -1), lambda f: F.translate(f, HIDDEN_TAB, "\t"))
+    return F.when(line.contains('"'), wrapped).otherwise(F.split(line, "\t", -1))
 
 
 def _digits(c: Column) -> Column:
@@ -106,13 +118,17 @@ def _int_list(c: Column) -> Column:
 
 def blocks_ok(count: Column, sizes: Column, starts: Column, span: Column) -> Column:
     """Block count, sizes and starts agree with each other and fill ``span``."""
-    lists = sizes.rlike(r"\A[0-9]+(,[0-9]+)*,?\z") & starts.rlike(r"\A[0-9]+(,[0-9]+)*,?\z")
-    z, s = _int_list(sizes), _int_list(starts)
-    k = F.size(z)
-    ends = F.zip_with(s, z, lambda a, b: a + b)
-    ordered = F.forall(F.transform(F.slice(s, 2, F.greatest(k - 1, F.lit(0))), lambda x, i: F.struct(x.alias("x"), F.get(ends, i).alias("e"))), lambda p: p["x"] >= p["e"])
-    same = (F.size(s) == k) & (_number(count) == k)
-    return F.coalesce(_digits(count) & lists & same & (k >= 1) & F.forall(z, lambda x: x >= 1) & (F.get(s, F.lit(0)) == 0) & ordered & (F.element_at(ends, -1) == span), F.lit(False))
+    # A comma list without empty places; written so that no regex group repeats over a long list.
+    form = lambda c: c.rlike(r"\A[0-9][0-9,]*+\z") & ~c.contains(",,")
+
+    def fits(b: Column) -> Column:
+        s, e, k = b["s"], b["e"], F.size(b["z"])
+        ordered = F.forall(F.arrays_zip(F.slice(s, 2, F.greatest(k - 1, F.lit(0))).alias("x"), F.slice(e, 1, F.greatest(k - 1, F.lit(0))).alias("y")), lambda p: p["x"] >= p["y"])
+        return (F.size(s) == k) & (_number(count) == k) & (k >= 1) & F.forall(b["z"], lambda x: x >= 1) & (F.get(s, F.lit(0)) == 0) & ordered & (F.try_element_at(e, F.lit(-1)) == span)
+
+    lists = F.struct(_int_list(sizes).alias("z"), _int_list(starts).alias("s"))
+    with_ends = let(lists, lambda b: F.struct(b["z"].alias("z"), b["s"].alias("s"), F.zip_with(b["s"], b["z"], lambda x, y: x + y).alias("e")))
+    return F.coalesce(_digits(count) & form(sizes) & form(starts) & let(with_ends, fits), F.lit(False))
 
 
 def annotation_errors(fields: Column, layout: Column, length: Column) -> Column:
@@ -145,16 +161,19 @@ def _track_parts(line: Column) -> Column:
 
 def track_quoted_ok(line: Column) -> Column:
     """An even number of quotes, each pair of them the value of a ``key="..."`` set off by blanks."""
-    parts = _track_parts(line)
-    n = F.size(parts) - 1
 
-    def part_ok(p: Column) -> Column:
-        i, s = p["i"], p["s"]
-        opens = s.rlike(r"\s[^\s=]+=\z")  # the first part starts with the blank after the word
-        closes = (s == "") | s.rlike(r"\A\s")
-        return (i % 2 == 1) | F.when(n == 0, True).when(i == 0, opens).when(i == n, closes).otherwise(opens & s.rlike(r"\A\s"))
+    def parts_ok(parts: Column) -> Column:
+        n = F.size(parts) - 1
+
+        def part_ok(p: Column) -> Column:
+            i, s = p["i"], p["s"]
+            opens = s.rlike(r"\s[^\s=]++=\z")  # the first part starts with the blank after the word
+            closes = (s == "") | s.rlike(r"\A\s")
+            return (i % 2 == 1) | F.when(n == 0, True).when(i == 0, opens).when(i == n, closes).otherwise(opens & s.rlike(r"\A\s"))
+
+        return (n % 2 == 0) & F.forall(_index(parts), part_ok)
 
-    return (n % 2 == 0) & F.forall(_index(parts), part_ok) & ~F.regexp_extract(line, r"\A(\S+)", 1).contains('"')
+    return let(_track_parts(line), parts_ok) & ~F.regexp_extract(line, r"\A(\S+)", 1).contains('"')
 
 
 def track_words(line: Column) -> Column:
@@ -185,7 +204,7 @@ def track_errors(words: Column) -> Column:
 
 
 def parse_lines(df: DataFrame, chrom_sizes: DataFrame, line: str = "raw_line", layout: str = "layout") -> DataFrame:
-    """``df`` with ``kind``, ``fields`` (array<string>), ``track`` (map) and ``errors`` (array<string>).
+    """``df`` with ``kind``, ``fields`` (array<string>), ``track`` (array of k, v pairs) and ``errors`` (array<string>).
 
     ``errors`` holds ``quoting`` or ``columns`` alone, or ``value:<rule>`` for every
     value rule broken; it is empty for valid rows and for empty, comment and browser
@@ -210,13 +229,11 @@ def parse_lines(df: DataFrame, chrom_sizes: DataFrame, line: str = "raw_line", l
     errors = (
         F.when((is_ann | is_track) & ~F.col("_q"), F.array(F.lit("quoting")))
         .when(is_ann & ~columns_ok, F.array(F.lit("columns")))
-        .when(is_ann, value(annotation_errors(F.col("fields"), F.col(layout), F.col("_length"))))
-        .when(is_track, value(track_errors(F.col("_words"))))
+        .when(is_ann, value(let(F.col("fields"), lambda f: annotation_errors(f, F.col(layout), F.col("_length")))))
+        .when(is_track, value(let(F.col("_words"), track_errors)))
         .otherwise(none)
     )
-    pairs = F.filter("_words", lambda w: w["v"].isNotNull())
-    # Of repeated keys the last value is kept; a reduce keeps map building free of duplicate-key errors.
-    track = F.when(is_track, F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, w: F.map_concat(F.map_filter(m, lambda k, v: k != w["k"]), F.create_map(w["k"], w["v"]))))
+    track = F.filter("_words", lambda w: w["v"].isNotNull())
     return j.withColumn("errors", errors).withColumn("track", track).select(*base.columns, *made)
 
 

@@ -92,7 +92,7 @@ def p4_valid_lines(spark: SparkSession, d: str) -> DataFrame:
     f = lambda i: F.get("fields", F.lit(i))
     return good.select(
         "line_id", "kind", f(0).alias("chrom"), f(1).cast("long").alias("start_pos"), f(2).cast("long").alias("end_pos"),
-        F.coalesce(f(3), F.try_element_at("track", F.lit("name"))).alias("name"), f(4).cast("double").alias("score"), f(5).alias("strand"), F.size("track").alias("n_track_keys"),
+        F.coalesce(f(3), F.get(F.filter("track", lambda w: w["k"] == "name")["v"], F.lit(0))).alias("name"), f(4).cast("double").alias("score"), f(5).alias("strand"), F.size("track").alias("n_track_keys"),
     )
 
 
