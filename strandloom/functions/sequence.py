@@ -98,8 +98,8 @@ def motif_starts(s: Column, motif: str) -> Column:
 
 def digest(s: Column, site: str, cut: int) -> Column:
     """Fragments after cutting ``cut`` bases into every site."""
-    pat = iupac_regex(site)
-    return F.split(s, f"(?<={pat[:0]}{iupac_regex(site[:cut])})(?={iupac_regex(site[cut:])})" if 0 < cut < len(site) else f"(?={pat})", -1)
+    before, after = iupac_regex(site[:cut]), iupac_regex(site[cut:])
+    return F.split(s, (f"(?<={before})" if before else "") + (f"(?={after})" if after else ""), -1)
 
 
 def orfs(s: Column) -> Column:
