@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -249,18 +248,22 @@ def skellam_score(count: float, control: float, lam: float, lam_ctrl: float) ->
 
 
 def arrow_udf(fn: Callable[..., float], kind: str = "double") -> Callable[..., Column]:
-    """An Arrow UDF applying a scalar kernel to columns; each distinct argument tuple is computed once a worker. Null in, null out."""
-    cached = lru_cache(maxsize=200_000)(fn)
-
-    @F.pandas_udf(kind)
-    def run(*cols: pd.Series) -> pd.Series:
-        out = []
-        for args in zip(*[c.tolist() for c in cols]):
-            ok = all(x is not None and x == x for x in args)
-            out.append(cached(*args) if ok else None)
-        return pd.Series(out, dtype="float64" if kind == "double" else "Int64")
-
-    return run
+    """A function of columns that applies a scalar kernel in Arrow batches; each distinct argument tuple of a batch is computed once. Null in, null out."""
+
+    def call(*cols: Column | str) -> Column:
+        @F.pandas_udf(kind)
+        def run(*args: pd.Series) -> pd.Series:
+            memo: dict[tuple, float | None] = {}
+            out = []
+            for t in zip(*[c.tolist() for c in args]):
+                if t not in memo:
+                    memo[t] = fn(*t) if all(x is not None and x == x for x in t) else None
+                out.append(memo[t])
+            return pd.Series(out, dtype="float64" if kind == "double" else "Int64")
+
+        return run(*cols)
+
+    return call
 
 
 # --- arrays in numpy ---------------------------------------------------------------------

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import blocks as B
 from strandloom.operators import setops
+from strandloom.operators.grouped import grouped_map
 from strandloom.operators.join import overlap_join
+from strandloom.session import stage
 
 MAX_PATHS = 10_000
 
@@ -78,27 +79,31 @@ def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS) -> Da
     e = edges.withColumn("start_pos", F.col("from_start")).withColumn("end_pos", F.col("from_start") + 1)
     e = overlap_join(e, loci, "inner").select("chrom", F.col("start_pos_r").alias("locus"), F.col("from_start").alias("a"), F.col("to_start").alias("b"), F.coalesce("reads", F.lit(0)).cast("double").alias("w"), F.lit("e").alias("kind"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        vs, es = pdf[pdf.kind == "v"], pdf[pdf.kind == "e"]
-        end = dict(zip(vs.a, vs.b))
-        out: dict[int, list[tuple[int, float]]] = {}
-        for a, b, w in zip(es.a, es.b, es.w):
-            out.setdefault(int(a), []).append((int(b), float(w)))
-        targets = {t for x in out.values() for t, _ in x}
-        sources = sorted(int(n) for n in end if n not in targets)
-        sinks = {int(n) for n in end if n not in out}
+    def run(g: dict[str, list]) -> list[tuple]:
+        end, after = {}, {}
+        for a, b, w, kind in zip(g["a"], g["b"], g["w"], g["kind"]):
+            if kind == "v":
+                end[a] = b
+            else:
+                after.setdefault(a, []).append((b, w))
+        targets = {t for x in after.values() for t, _ in x}
         rows = []
-        for i, (w, p) in enumerate(k_paths(out, sources, sinks, k)):
-            bl: list[list[int]] = []
+        for i, (w, p) in enumerate(k_paths(after, sorted(n for n in end if n not in targets), {n for n in end if n not in after}, k)):
+            bl: list[dict[str, int]] = []
             for n in p:
-                if bl and bl[-1][1] == n:
-                    bl[-1][1] = int(end[n])
+                if bl and bl[-1]["end"] == n:
+                    bl[-1]["end"] = end[n]
                 else:
-                    bl.append([n, int(end[n])])
-            rows.append((key[0], int(key[1]), i, w, [{"start": s, "end": t} for s, t in bl]))
-        return pd.DataFrame(rows, columns=["chrom", "locus", "path", "weight", "blocks"])
-
-    return v.unionByName(e).groupBy("chrom", "locus").applyInPandas(run, f"chrom string, locus long, path int, weight double, blocks {B.BLOCKS}")
+                    bl.append({"start": n, "end": end[n]})
+            rows.append((g["chrom"][0], g["locus"][0], i, w, bl))
+        return rows
+
+    out = f"chrom string, locus long, path int, weight double, blocks {B.BLOCKS}"
+    # A locus without edges is a single piece and needs no search.
+    parts = stage(v.unionByName(e), "loci")
+    linked = parts.filter("kind = 'e'").select("chrom", "locus").distinct()
+    alone = parts.join(linked, ["chrom", "locus"], "left_anti").select("chrom", "locus", F.lit(0).alias("path"), F.lit(0.0).alias("weight"), F.array(B.block(F.col("a"), F.col("b"))).alias("blocks"))
+    return grouped_map(parts.join(linked, ["chrom", "locus"], "left_semi"), ["chrom", "locus"], run, out).unionByName(alone)
 
 
 def fpkm(t: DataFrame, reads: DataFrame, key: str) -> DataFrame:

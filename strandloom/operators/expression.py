@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import stats as S
+from strandloom.operators.ordered import Ordered
 from strandloom.session import bounded_broadcast, stage
 
 
@@ -46,7 +49,7 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, weighted: bool = True
     hits are visited: between two hits the sum falls by a known amount, so its extremes lie
     just before and at hits.
     """
-    r = ranked.filter(F.col("score").isNotNull()).withColumn("_k", F.row_number().over(Window.orderBy(F.col("score").desc(), "gene")))
+    r = Ordered(ranked.filter(F.col("score").isNotNull()), [], ["-score", "gene"]).row_number("_k")
     n_all = r.agg(F.count("*").alias("_all"))
     hit = sets.select("set", "gene").distinct().join(r, "gene").join(F.broadcast(n_all))
     w = Window.partitionBy("set").orderBy("_k")
@@ -92,30 +95,54 @@ def signatures(m: DataFrame, samples: DataFrame, top: int) -> DataFrame:
     return k.select("group", "row", "rank", "diff")
 
 
+def _distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Rows of ``x`` against rows of ``c``."""
+    if metric == "euclidean":
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0))
+    if metric == "manhattan":
+        return np.stack([np.abs(x - y).sum(1) for y in c], 1)
+    if metric == "pearson":
+        u = [m - m.mean(1, keepdims=True) for m in (x, c)]
+        u = [m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300) for m in u]
+        return 1 - u[0] @ u[1].T
+    if metric == "js":
+        h = lambda p: -np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0).sum(-1)
+        return np.stack([np.sqrt(np.maximum(h((x + y) / 2) - (h(x) + h(y)) / 2, 0)) for y in c], 1)
+    raise ValueError(metric)
+
+
 def kmeans(profiles: DataFrame, k: int, metric: str = "euclidean", seed: int = 0, rounds: int = 50) -> DataFrame:
     """(row, cluster): assignments repeated until none changes, from ``k`` rows drawn by ``seed``.
 
-    ``profiles`` is (row, profile) with complete arrays.  Centres are ``k`` arrays on the driver;
-    assignment is a native expression over them, and new centres one aggregation.
+    ``profiles`` is (row, profile); rows with a null in the profile are left out.  Centres are
+    ``k`` arrays on the driver, assignment is numpy over Arrow batches, and new centres are
+    one aggregation of its result.  Equal distances go to the lower cluster.
     """
-    from strandloom.operators import matrix as M
-
-    dist = {"euclidean": M.euclidean, "manhattan": M.manhattan, "pearson": lambda a, b: 1 - F.coalesce(M.pearson(a, b), F.lit(0.0)), "js": M.js_distance}[metric]
     ok = stage(profiles.filter(F.forall("profile", lambda x: x.isNotNull())), "profiles")
-    centres = [r["profile"] for r in ok.orderBy(F.xxhash64(F.lit(seed), "row"), "row").limit(k).collect()]
+    centres = np.array([r["profile"] for r in ok.orderBy(F.xxhash64(F.lit(seed), "row"), "row").limit(k).collect()], dtype=float)
+    if not len(centres):
+        return ok.select("row", F.lit(0).alias("cluster"))
+    width = centres.shape[1]
+
+    def assigned(c: np.ndarray) -> DataFrame:
+        @F.pandas_udf("int")
+        def nearest(p: pd.Series) -> pd.Series:
+            return pd.Series(_distances(np.stack(p.to_numpy()).astype(float), c, metric).argmin(1).astype("int32") if len(p) else [], dtype="int32")
+
+        return ok.withColumn("cluster", nearest("profile"))
+
     before = None
-    placed = ok
+    placed = assigned(centres)
     for _ in range(rounds):
-        arrays = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(centres)])
-        best = F.array_min(F.transform(arrays, lambda c: F.struct(dist(F.col("profile"), c["c"]).alias("d"), c["i"].alias("i"))))["i"]
-        placed = ok.withColumn("cluster", best)
-        width = len(centres[0]) if centres else 0
         means = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "cluster")).alias("h"), *[F.avg(F.get("profile", F.lit(i))).alias(f"m{i}") for i in range(width)]).collect()
         now = sorted((r["cluster"], r["n"], r["h"]) for r in means)
         if now == before:
             break
         before = now
-        centres = [next(([r[f"m{i}"] for i in range(width)] for r in means if r["cluster"] == c), centres[c]) for c in range(len(centres))]
+        centres = centres.copy()
+        for r in means:
+            centres[r["cluster"]] = [r[f"m{i}"] for i in range(width)]
+        placed = assigned(centres)
     return placed.select("row", "cluster")
 
 

@@ -1,17 +1,19 @@
 """Matrices in long form (row, col, value) and the statistics of their rows and columns.
 
 Columns of the frames are ``row``, ``col`` and ``value``; cells that are null or NaN don't
-exist.  Normalisations are grouped aggregates joined back, so the values of one hot
-column are never gathered in one task unless a median asks for it.
+exist.  Normalisations are grouped aggregates joined back; ranks and medians come from a
+global order, so the values of one hot column are never gathered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordered import Ordered
+
 
 def cells(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Long matrix of valid cells, each (row, col) once (its greatest value)."""
@@ -36,19 +38,28 @@ def divide_by_mean(m: DataFrame, by: str = "col") -> DataFrame:
     return j.withColumn("value", F.try_divide("value", "_m")).select("row", "col", "value")
 
 
+def medians(m: DataFrame, by: str, value: str = "value", name: str = "median") -> DataFrame:
+    """(by, name): exact medians from places in a global order, averaging the two middle values of even counts."""
+    n = m.groupBy(by).agg(F.count("*").alias("_n"))
+    p = Ordered(m.select(by, value, F.xxhash64("row", "col").alias("_h")), [by], [value, "_h"]).row_number("_k").join(n, by)
+    mid = (F.col("_k") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_k") == F.floor(F.col("_n") / 2) + 1)
+    return p.filter(mid).groupBy(by).agg(F.avg(value).alias(name))
+
+
 def divide_by_median(m: DataFrame, by: str = "col") -> DataFrame:
-    j = _joined(m, by, F.median("value").alias("_m"))
+    j = m.join(medians(m, by, name="_m"), by)
     return j.withColumn("value", F.try_divide("value", "_m")).select("row", "col", "value")
 
 
 def median_centre(m: DataFrame, by: str = "col") -> DataFrame:
-    return _joined(m, by, F.median("value").alias("_m")).withColumn("value", F.col("value") - F.col("_m")).select("row", "col", "value")
+    return m.join(medians(m, by, name="_m"), by).withColumn("value", F.col("value") - F.col("_m")).select("row", "col", "value")
 
 
 def mad(m: DataFrame, by: str = "col") -> DataFrame:
     """(by, median, mad)."""
-    j = _joined(m, by, F.median("value").alias("_m"))
-    return j.groupBy(by).agg(F.max("_m").alias("median"), F.median(F.abs(F.col("value") - F.col("_m"))).alias("mad"))
+    first = medians(m, by)
+    off = m.join(first, by).withColumn("_d", F.abs(F.col("value") - F.col("median")))
+    return first.join(medians(off, by, "_d", "mad"), by)
 
 
 def scale_normalise(m: DataFrame) -> DataFrame:
@@ -74,7 +85,7 @@ def floor_at(m: DataFrame, least: float) -> DataFrame:
 
 def quantile_normalise(m: DataFrame) -> DataFrame:
     """Each value replaced by the mean over columns of the values of its place in the sorted column; ties go by row."""
-    r = m.withColumn("_k", F.row_number().over(Window.partitionBy("col").orderBy("value", "row")))
+    r = Ordered(m, ["col"], ["value", "row"]).row_number("_k")
     means = r.groupBy("_k").agg(F.avg("value").alias("_v"))
     return r.join(means, "_k").select("row", "col", F.col("_v").alias("value"))
 
@@ -82,9 +93,8 @@ def quantile_normalise(m: DataFrame) -> DataFrame:
 def average_rank(m: DataFrame, by: str, ascending: bool = True, name: str = "rank") -> DataFrame:
     """0-based rank of each value per ``by``, ties sharing the mean of their ranks."""
     counts = m.groupBy(by, "value").agg(F.count("*").alias("_n"))
-    order = F.col("value").asc() if ascending else F.col("value").desc()
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy(order)) - F.col("_n")
-    ranks = counts.withColumn(name, before + (F.col("_n") - 1) / 2).drop("_n")
+    upto = Ordered(counts, [by], ["value" if ascending else "-value"]).running({"_upto": ("sum", F.col("_n"))})
+    ranks = upto.select(by, "value", (F.col("_upto") - F.col("_n") + (F.col("_n") - 1) / 2).alias(name))
     return m.join(ranks, [by, "value"]).select(*m.columns, name)
 
 
@@ -117,7 +127,8 @@ def size_factors(m: DataFrame) -> DataFrame:
     n_cols = m.agg(F.count_distinct("col").alias("_c"))
     full = m.groupBy("row").agg(F.min("value").alias("lo"), F.count("*").alias("n"), F.exp(F.avg(F.when(F.col("value") > 0, F.ln("value")))).alias("g"))
     ok = full.join(F.broadcast(n_cols)).filter((F.col("lo") > 0) & (F.col("n") == F.col("_c"))).select("row", "g")
-    return m.join(ok, "row").groupBy("col").agg((1 / F.median(F.col("value") / F.col("g"))).alias("factor"))
+    q = m.join(ok, "row").withColumn("_q", F.col("value") / F.col("g"))
+    return medians(q, "col", "_q", "_m").select("col", (1 / F.col("_m")).alias("factor"))
 
 
 def correlation(m: DataFrame, by: str = "col", ranks: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rank tests, group comparisons, multiple-testing corrections and histograms over DataFrames.
 
-Ranks are two-level: counts per distinct value, then a running sum over distinct
-values; callers with one very large group should pre-bin values (see ``histogram``).
+Ranks come from counts per distinct value and a running sum over them in a global
+order (``ordered``), so neither ties nor one very large group end in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import kernels as K
+from strandloom.operators.ordered import Ordered
 
 normal_tail = K.arrow_udf(K.normal_sf)
 chi2_tail = K.arrow_udf(K.chi2_sf)
@@ -68,10 +69,10 @@ def max_mean(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def _ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """1-based average ranks of distinct values per key: (keys, value, rank)."""
+    """1-based average ranks of distinct values per key: (keys, value, _rank)."""
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    return c.withColumn("_rank", F.sum("_n").over(w) - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n")
+    r = Ordered(c, keys, [value]).running({"_upto": ("sum", F.col("_n"))})
+    return r.select(*keys, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a: str, b: str) -> DataFrame:
@@ -95,10 +96,11 @@ def signed_rank(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
 def ks_statistic(df: DataFrame, keys: Sequence[str], group: str, value: str, a: str, b: str) -> DataFrame:
     """Greatest gap between the distribution functions of two groups."""
     c = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum((F.col(group) == a).cast("int")).alias("x"), F.sum((F.col(group) == b).cast("int")).alias("y"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    all_ = Window.partitionBy(*keys)
-    gap = F.abs(F.sum("x").over(run) / F.sum("x").over(all_) - F.sum("y").over(run) / F.sum("y").over(all_))
-    return c.withColumn("_g", gap).groupBy(*keys).agg(F.max("_g").alias("ks"))
+    r = Ordered(c, keys, [value]).running({"_x": ("sum", F.col("x")), "_y": ("sum", F.col("y"))})
+    # The totals are the last running sums; a second aggregation over (key) finds them together with the gap.
+    t = c.groupBy(*keys).agg(F.sum("x").alias("_tx"), F.sum("y").alias("_ty"))
+    j = r.join(t, list(keys)) if keys else r.join(F.broadcast(t))
+    return j.groupBy(*keys).agg(F.max(F.abs(F.try_divide("_x", "_tx") - F.try_divide("_y", "_ty"))).alias("ks"))
 
 
 def fisher_combined(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
@@ -116,29 +118,28 @@ def bh_cutoff(df: DataFrame, p: str, alpha: float, by: Sequence[str] = (), first
     Works on the counts of distinct p values.
     """
     c = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(p)
-    c = c.withColumn("_r", F.sum("_n").over(w)).withColumn("_t", F.sum("_n").over(Window.partitionBy(*by)))
+    t = c.groupBy(*by).agg(F.sum("_n").alias("_t"))
+    r = Ordered(c, by, [p]).running({"_r": ("sum", F.col("_n"))})
+    r = r.join(t, list(by)) if by else r.join(F.broadcast(t))
     ok = F.col(p) <= (F.col("_r") - 1 + first_rank) / F.col("_t") * alpha
-    return c.groupBy(*by).agg(F.coalesce(F.max(F.when(ok, F.col(p))), F.lit(0.0)).alias("cutoff"))
+    return r.groupBy(*by).agg(F.coalesce(F.max(F.when(ok, F.col(p))), F.lit(0.0)).alias("cutoff"))
 
 
 def hochberg(df: DataFrame, p: str, by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
-    """``p_adj``: step-up adjusted p, min over greater ones of (count from the top) x p, at most 1."""
-    order = [F.col(p).desc(), *([F.col(tie).asc()] if tie else [])]
-    w = Window.partitionBy(*by).orderBy(*order)
-    r = df.withColumn("_i", F.row_number().over(w))
-    return r.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col("_i") * F.col(p)).over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_i")
+    """``p_adj``: step-up adjusted p, min over greater ones of (count from the top) x p, at most 1; null p are left out."""
+    o = Ordered(df.filter(F.col(p).isNotNull()), by, [f"-{p}", *([tie] if tie else [])]).row_number("_i")
+    r = Ordered(o, by, ["_i"]).running({"_m": ("min", F.col("_i") * F.col(p))})
+    return r.withColumn("p_adj", F.least(F.lit(1.0), F.col("_m"))).drop("_i", "_m")
 
 
 def permutation_fdr(observed: DataFrame, permuted: DataFrame, value: str, rounds: int) -> DataFrame:
-    """(value, fdr): mean number of permuted values at least as large over observed ones, made monotone."""
+    """(value, fdr): mean number of permuted values at least as large over observed ones, made monotone from the smallest up."""
     o = observed.groupBy(value).agg(F.count("*").alias("_o")).withColumn("_p", F.lit(0).cast("long"))
     p = permuted.groupBy(value).agg(F.count("*").alias("_p")).withColumn("_o", F.lit(0).cast("long"))
     u = o.select(value, "_o", "_p").unionByName(p.select(value, "_o", "_p")).groupBy(value).agg(F.sum("_o").alias("_o"), F.sum("_p").alias("_p"))
-    down = Window.orderBy(F.col(value).desc())
-    raw = F.least(F.lit(1.0), F.sum("_p").over(down) / rounds / F.nullif(F.sum("_o").over(down), F.lit(0)))
-    r = u.withColumn("_raw", raw).filter(F.col("_o") > 0)
-    return r.select(value, F.min("_raw").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("fdr"))
+    r = Ordered(u, [], [f"-{value}"]).running({"_po": ("sum", F.col("_p")), "_oo": ("sum", F.col("_o"))}).filter(F.col("_o") > 0)
+    r = r.withColumn("_raw", F.least(F.lit(1.0), F.col("_po") / rounds / F.col("_oo")))
+    return Ordered(r, [], [value]).running({"fdr": ("min", F.col("_raw"))}).select(value, "fdr")
 
 
 def family_wise(observed: DataFrame, permuted: DataFrame, value: str, round_col: str) -> DataFrame:
@@ -153,9 +154,10 @@ def empirical_p(df: DataFrame, background: DataFrame, value: str) -> DataFrame:
     b = background.groupBy(value).agg(F.count("*").alias("_b")).withColumn("_x", F.lit(False))
     x = df.select(value).distinct().select(value, F.lit(0).cast("long").alias("_b"), F.lit(True).alias("_x"))
     u = b.unionByName(x).groupBy(value).agg(F.sum("_b").alias("_b"), F.max("_x").alias("_x"))
-    w = Window.orderBy(value)  # one row a distinct value
-    c = u.withColumn("_below", F.sum("_b").over(w) - F.col("_b")).withColumn("_n", F.sum("_b").over(Window.partitionBy())).filter("_x")
-    c = c.select(value, (1 - F.col("_below") / F.col("_n")).alias("p"), ((F.col("_n") - F.col("_below") + 1) / (F.col("_n") + 1)).alias("p_plus_one"))
+    t = u.agg(F.sum("_b").alias("_n"))
+    c = Ordered(u, [], [value]).running({"_upto": ("sum", F.col("_b"))}).filter("_x").join(F.broadcast(t))
+    below = F.col("_upto") - F.col("_b")
+    c = c.select(value, (1 - below / F.col("_n")).alias("p"), ((F.col("_n") - below + 1) / (F.col("_n") + 1)).alias("p_plus_one"))
     return df.join(c, value)
 
 
@@ -219,10 +221,3 @@ def max_subsum(df: DataFrame, keys: Sequence[str], order: str, value: str) -> Da
 def run_over(df: DataFrame, keys: Sequence[str], order: str, value: str, least: float) -> DataFrame:
     """First and last place with a value above ``least``."""
     return df.filter(F.col(value) > least).groupBy(*keys).agg(F.min(order).alias("first"), F.max(order).alias("last"))
-
-
-def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int) -> Column:
-    """Number of the group of rows each less than ``gap`` after the greatest end before it (session-like merging)."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.when(far.isNull() | (F.col(start) - far >= gap), 1).otherwise(0)

@@ -12,6 +12,7 @@ from strandloom.operators import scores as SC
 from strandloom.operators import setops as S
 from strandloom.operators import stats as T
 from strandloom.operators import windows as W
+from strandloom.operators.ordered import Ordered
 from strandloom.plans.problems import stored_intervals
 from strandloom.plans.tables import Registry, table
 
@@ -225,16 +226,16 @@ def set_union(spark, d):
     return plus(spark, d).select(c).unionByName(minus(spark, d).select(c))
 
 
-@R.add("set_exact_intersection", f"WITH {IV} SELECT chrom, start_pos, end_pos FROM pl INTERSECT SELECT chrom, start_pos, end_pos FROM (SELECT * FROM iv WHERE name LIKE 'NX%')")
+@R.add("set_exact_intersection", f"WITH {IV} SELECT chrom, start_pos, end_pos FROM pl INTERSECT SELECT chrom, start_pos, end_pos FROM mi")
 def set_exact_intersection(spark, d):
     c = ["chrom", "start_pos", "end_pos"]
-    return plus(spark, d).select(c).intersect(iv(spark, d).filter(F.col("name").startswith("NX")).select(c))
+    return plus(spark, d).select(c).intersect(minus(spark, d).select(c))
 
 
-@R.add("set_exact_difference", f"WITH {IV} SELECT chrom, start_pos, end_pos FROM pl EXCEPT SELECT chrom, start_pos, end_pos FROM (SELECT * FROM iv WHERE name LIKE 'NX%')")
+@R.add("set_exact_difference", f"WITH {IV} SELECT chrom, start_pos, end_pos FROM pl EXCEPT SELECT chrom, start_pos, end_pos FROM mi")
 def set_exact_difference(spark, d):
     c = ["chrom", "start_pos", "end_pos"]
-    return plus(spark, d).select(c).distinct().join(iv(spark, d).filter(F.col("name").startswith("NX")).select(c), c, "left_anti")
+    return plus(spark, d).select(c).distinct().join(minus(spark, d).select(c), c, "left_anti")
 
 
 @R.add("dedup_structures", f"WITH {IV} SELECT chrom, strand, start_pos, end_pos, count(*) AS n, min(interval_id) AS first_id FROM iv GROUP BY ALL")
@@ -394,10 +395,8 @@ def trimmed_intervals(spark, d):
 @R.add("sorted_intervals", f"WITH {IV} SELECT interval_id, row_number() OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, coalesce(strand, ''), coalesce(name, ''), interval_id) AS place FROM iv")
 def sorted_intervals(spark, d):
     """Place of every interval in annotation order on its chromosome."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("start_pos", "end_pos", F.coalesce("strand", F.lit("")), F.coalesce("name", F.lit("")), "interval_id")
-    return iv(spark, d).select("interval_id", F.row_number().over(w).alias("place"))
+    i = iv(spark, d).withColumn("s", F.coalesce("strand", F.lit(""))).withColumn("n", F.coalesce("name", F.lit("")))
+    return Ordered(i, ["chrom"], ["start_pos", "end_pos", "s", "n", "interval_id"]).row_number("place").select("interval_id", "place")
 
 
 @R.add("neighbour_orientation", f"""
@@ -405,10 +404,8 @@ WITH {IV}, n AS (SELECT interval_id, strand, end_pos, lead(strand) OVER w AS s2,
 SELECT interval_id, greatest(0, st2 - end_pos) AS distance, CASE WHEN strand = '+' AND s2 = '-' THEN 'convergent' WHEN strand = '-' AND s2 = '+' THEN 'divergent' WHEN strand = s2 AND strand IN ('+', '-') THEN 'tandem' ELSE 'unknown' END AS class FROM n WHERE st2 IS NOT NULL
 """)
 def neighbour_orientation(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("start_pos", "end_pos", "interval_id")
-    n = iv(spark, d).withColumn("s2", F.lead("strand").over(w)).withColumn("st2", F.lead("start_pos").over(w)).filter(F.col("st2").isNotNull())
+    o = Ordered(iv(spark, d), ["chrom"], ["start_pos", "end_pos", "interval_id"]).neighbour(["strand", "start_pos"])
+    n = o.withColumnsRenamed({"strand_next": "s2", "start_pos_next": "st2"}).filter(F.col("st2").isNotNull())
     cls = F.when((F.col("strand") == "+") & (F.col("s2") == "-"), "convergent").when((F.col("strand") == "-") & (F.col("s2") == "+"), "divergent").when((F.col("strand") == F.col("s2")) & F.col("strand").isin("+", "-"), "tandem").otherwise("unknown")
     return n.select("interval_id", F.greatest(F.lit(0).cast("long"), F.col("st2") - F.col("end_pos")).alias("distance"), cls.alias("class"))
 
