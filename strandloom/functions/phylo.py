@@ -79,35 +79,41 @@ class Evolution:
     def transition(self, t: float) -> np.ndarray:
         return np.maximum((self.left * np.exp(self.values * t)) @ self.right, 0.0)
 
-    def likelihood(self, column: Mapping[str, str], omega: float = 1.0) -> float:
-        """P of one alignment column; gaps, N and absent species are unknown."""
+    def likelihoods(self, columns: list[Mapping[str, str]], omega: float = 1.0) -> np.ndarray:
+        """P of every alignment column; gaps, N and absent species are unknown."""
+        return self._pruned(self._leaves(columns), omega)
+
+    def _leaves(self, columns: list[Mapping[str, str]]) -> dict[str, np.ndarray]:
+        known = np.vstack([np.eye(4), np.ones(4)])
+        return {n: known[[BASES.find(c.get(n, "-").upper()) if c.get(n) else -1 for c in columns]] for n in self.tree.leaves()}
 
+    def _pruned(self, leaves: Mapping[str, np.ndarray], omega: float) -> np.ndarray:
         def below(n: Node) -> np.ndarray:
             if not n.children:
-                i = BASES.find(column.get(n.name, "-").upper())
-                v = np.ones(4)
-                if i >= 0:
-                    v = np.zeros(4)
-                    v[i] = 1
-                return v
-            out = np.ones(4)
+                return leaves[n.name]
+            out = None
             for c in n.children:
-                out = out * (self.transition(c.length * omega) @ below(c))
+                x = below(c) @ self.transition(c.length * omega).T
+                out = x if out is None else out * x
             return out
 
-        return float(self.pi @ below(self.tree))
+        return below(self.tree) @ self.pi
+
+    def likelihood(self, column: Mapping[str, str], omega: float = 1.0) -> float:
+        return float(self.likelihoods([column], omega)[0])
 
     def log_likelihood(self, columns: list[Mapping[str, str]], omega: float = 1.0) -> float:
-        return sum(np.log(max(self.likelihood(c, omega), 1e-300)) for c in columns)
+        return float(np.log(np.maximum(self.likelihoods(columns, omega), 1e-300)).sum())
 
     def fit_omega(self, columns: list[Mapping[str, str]], lo: float = 1e-3, hi: float = 10.0) -> tuple[float, float]:
         """Rate that makes the columns most likely (golden section on its logarithm), and its log odds against 1."""
         g = (5**0.5 - 1) / 2
         a, b = np.log(lo), np.log(hi)
-        f = lambda x: self.log_likelihood(columns, float(np.exp(x)))
+        leaves = self._leaves(columns)
+        f = lambda x: float(np.log(np.maximum(self._pruned(leaves, float(np.exp(x))), 1e-300)).sum())
         c, d = b - g * (b - a), a + g * (b - a)
         fc, fd = f(c), f(d)
-        while b - a > 1e-5:
+        while b - a > 1e-4:
             if fc >= fd:
                 b, d, fd = d, c, fc
                 c = b - g * (b - a)
@@ -117,7 +123,7 @@ class Evolution:
                 d = a + g * (b - a)
                 fd = f(d)
         x = (a + b) / 2
-        return float(np.exp(x)), float(f(x) - self.log_likelihood(columns))
+        return float(np.exp(x)), float(f(x) - f(0.0))
 
     def fit_pi(self, column: Mapping[str, str], rounds: int = 30) -> tuple[np.ndarray, float]:
         """Base bias of one column by expectation-maximisation over the root's base, and its log odds."""

@@ -38,18 +38,19 @@ def exon_islands(reads: DataFrame) -> DataFrame:
 
 def splice_graph(reads: DataFrame, least_reads: int = 3, least_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges): exon pieces cut at junction ends, and edges by adjacency (weight null) or junction (its reads)."""
-    j = low_junction_filter(junctions(reads), least_reads, least_share)
-    ex = exon_islands(reads)
+    j = stage(low_junction_filter(stage(junctions(reads), "junctions"), least_reads, least_share), "junctions")
+    ex = stage(exon_islands(reads), "exons")
     cuts = j.select("chrom", F.explode(F.array("start_pos", "end_pos")).alias("start_pos")).distinct().withColumn("end_pos", F.col("start_pos") + 1)
     hit = overlap_join(ex, cuts, "left")
     per = hit.groupBy("chrom", "start_pos", "end_pos").agg(F.array_sort(F.collect_set("start_pos_r")).alias("_c"))
     pts = F.array_distinct(F.concat(F.array("start_pos"), "_c", F.array("end_pos")))
     v = per.withColumn("_p", F.array_sort(pts)).select("chrom", F.inline(F.filter(F.zip_with(F.slice("_p", 1, F.size("_p") - 1), F.slice("_p", 2, F.size("_p")), lambda a, b: F.struct(a.alias("start_pos"), b.alias("end_pos"))), lambda x: x["start_pos"] < x["end_pos"])))
+    v = stage(v, "vertices")
     left = v.select("chrom", F.col("start_pos").alias("from_start"), F.col("end_pos").alias("at"))
     right = v.select("chrom", F.col("start_pos").alias("to_start"))
     adjacent = left.join(right.withColumn("at", F.col("to_start")), ["chrom", "at"]).select("chrom", "from_start", "to_start", F.lit(None).cast("long").alias("reads"))
     spliced = j.select("chrom", F.col("start_pos").alias("at"), F.col("end_pos").alias("to_start"), "reads").join(left, ["chrom", "at"]).join(right, ["chrom", "to_start"]).select("chrom", "from_start", "to_start", "reads")
-    return v, adjacent.unionByName(spliced)
+    return v, stage(adjacent.unionByName(spliced), "edges")
 
 
 def k_paths(edges: dict[int, list[tuple[int, float]]], sources: list[int], sinks: set[int], k: int) -> list[tuple[float, list[int]]]:
@@ -74,7 +75,7 @@ def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS) -> Da
     """
     ends = vertices.select("chrom", F.col("start_pos").alias("to_start"), "end_pos")
     spans = edges.join(ends, ["chrom", "to_start"]).select("chrom", F.col("from_start").alias("start_pos"), "end_pos")
-    loci = setops.merged(vertices.select("chrom", "start_pos", "end_pos").unionByName(spans))
+    loci = stage(setops.merged(vertices.select("chrom", "start_pos", "end_pos").unionByName(spans)), "loci")
     v = overlap_join(vertices, loci, "inner", contained="left").select("chrom", F.col("start_pos_r").alias("locus"), F.col("start_pos").alias("a"), F.col("end_pos").alias("b"), F.lit(None).cast("double").alias("w"), F.lit("v").alias("kind"))
     e = edges.withColumn("start_pos", F.col("from_start")).withColumn("end_pos", F.col("from_start") + 1)
     e = overlap_join(e, loci, "inner").select("chrom", F.col("start_pos_r").alias("locus"), F.col("from_start").alias("a"), F.col("to_start").alias("b"), F.coalesce("reads", F.lit(0)).cast("double").alias("w"), F.lit("e").alias("kind"))

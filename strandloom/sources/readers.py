@@ -78,7 +78,7 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
 
 def attributes(raw: Column) -> Column:
     """map<string,array<string>> of GFF / GTF attributes: ``;`` between pairs, blank or ``=`` between key and value."""
-    parts = F.filter(F.transform(F.split(raw, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(raw, ";"), lambda x: F.trim(x)), lambda x: x != "")
     key = lambda x: F.regexp_extract(x, r"^([^\s=]+)", 1)
     val = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^\s=]+[\s=]*", ""), '"', ""))
     pairs = F.transform(parts, lambda x: F.struct(key(x).alias("k"), val(x).alias("v")))
