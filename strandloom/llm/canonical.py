@@ -281,7 +281,7 @@ def same_look_pairs(keys: DataFrame, item: str, look_col: str = "look", stored:
     Pairs are formed between the different stored texts of a look first and then
     expanded, so copies of one text meet nothing but the items they pair with.
     """
-    k = keys.filter(F.col(look_col).isNotNull()).select(F.col(item).alias("item"), F.col(look_col).alias("look"), F.col(stored).alias("stored"))
+    k = stage(keys.filter(F.col(look_col).isNotNull()).select(F.col(item).alias("item"), F.col(look_col).alias("look"), F.col(stored).alias("stored")), "keys")
     texts = k.select("look", "stored").distinct()
     several = texts.groupBy("look").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("look")
     members = stage(k.join(several, "look"), "looks")
