@@ -265,7 +265,7 @@ def windows(x: Column, strand: Column, size: int, step: int) -> Column:
 
 def percent_overlap(x: Column, y: Column) -> Column:
     """Shared bases over the length of ``x``."""
-    return overlap_bases(x, y) / length(x)
+    return F.try_divide(overlap_bases(x, y), length(x))
 
 
 def reciprocal_overlap(x: Column, y: Column, least: float) -> Column:

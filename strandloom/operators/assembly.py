@@ -111,7 +111,7 @@ def fpkm(t: DataFrame, reads: DataFrame, key: str) -> DataFrame:
     """(key, count, fpkm): weighted reads overlapping each transcript, per kilobase of blocks and million reads."""
     total = reads.agg(F.sum("weight").alias("_t"))
     hit = overlap_join(t, reads, "inner").groupBy(key, F.col("length")).agg(F.sum("weight_r").alias("count"))
-    return hit.join(F.broadcast(total)).select(key, "count", (F.col("count") * 1000 / F.col("length") * 1e6 / F.col("_t")).alias("fpkm"))
+    return hit.join(F.broadcast(total)).select(key, "count", F.try_divide(F.try_divide(F.col("count") * 1000, "length") * 1e6, F.col("_t")).alias("fpkm"))
 
 
 def intron_retention(t: DataFrame, j: DataFrame, depth: DataFrame, least_ratio: float = 0.95) -> DataFrame:

@@ -132,25 +132,25 @@ def balanced_sums(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], p
     than the keys and those used in ``sums`` are ignored, whatever their names.
     """
     keys = list(keys)
-    names = [f"_s{i}" for i in range(len(sums))]
-    rows = df.select(*keys, F.lit(1).cast("long").alias("_n"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(a) for a, c in zip(names, sums.values())])
+    names = [f"__s{i}" for i in range(len(sums))]
+    rows = df.select(*keys, F.lit(1).cast("long").alias("__n"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(a) for a, c in zip(names, sums.values())])
     plan = plan or plan_load(df, keys)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    part = rows.mapInArrow(_combine(keys, ["_n", *names], to_arrow_schema(schema)), schema)
+    part = rows.mapInArrow(_combine(keys, ["__n", *names], to_arrow_schema(schema)), schema)
     h = key_hash(keys)
-    part = part.withColumn("_tasks", plan.shard_tasks(h))
+    part = part.withColumn("__tasks", plan.shard_tasks(h))
     # The shard of a combined row: any spread will do, as long as it doesn't depend on the key alone.
-    part = part.withColumn("_task", F.element_at("_tasks", (F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.size("_tasks")) + 1).cast("int")))
-    part = part.withColumn("_many", F.size("_tasks") > 1).drop("_tasks")
-    agg = [F.sum("_n").alias("_n"), *[F.sum(a).alias(a) for a in names]]
-    once = part.repartitionById(plan.tasks, F.col("_task")).groupBy("_task", "_many", *keys).agg(*agg)
+    part = part.withColumn("__task", F.element_at("__tasks", (F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.size("__tasks")) + 1).cast("int")))
+    part = part.withColumn("__many", F.size("__tasks") > 1).drop("__tasks")
+    agg = [F.sum("__n").alias("__n"), *[F.sum(a).alias(a) for a in names]]
+    once = part.repartitionById(plan.tasks, F.col("__task")).groupBy("__task", "__many", *keys).agg(*agg)
     if plan.heavy:
-        light = once.filter(~F.col("_many")).select(*keys, "_n", *names)
-        split = once.filter("_many").groupBy(*keys).agg(*agg)
-        once = light.unionByName(split.select(*keys, "_n", *names))
-    return once.select(*keys, F.col("_n").alias("n"), *[F.col(a).alias(k) for a, k in zip(names, sums)])
+        light = once.filter(~F.col("__many")).select(*keys, "__n", *names)
+        split = once.filter("__many").groupBy(*keys).agg(*agg)
+        once = light.unionByName(split.select(*keys, "__n", *names))
+    return once.select(*keys, F.col("__n").alias("n"), *[F.col(a).alias(k) for a, k in zip(names, sums)])
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
@@ -167,8 +167,8 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     clash = [c for c in right.columns if c in left.columns and c not in keys]
     right = right.withColumnsRenamed({c: f"{c}_right" for c in clash})
     l_tasks = plan.shard_tasks(key_hash(keys))
-    lt = left.withColumn("_task", F.element_at(l_tasks, (F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.size(l_tasks)) + 1).cast("int")))
-    rt = right.withColumn("_task", F.explode(plan.shard_tasks(key_hash(keys))))
-    lt = lt.repartitionById(plan.tasks, F.col("_task"))
-    rt = rt.repartitionById(plan.tasks, F.col("_task"))
-    return lt.join(rt.hint("shuffle_hash") if how != "inner" else rt, ["_task", *keys], how).drop("_task")
+    lt = left.withColumn("__task", F.element_at(l_tasks, (F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.size(l_tasks)) + 1).cast("int")))
+    rt = right.withColumn("__task", F.explode(plan.shard_tasks(key_hash(keys))))
+    lt = lt.repartitionById(plan.tasks, F.col("__task"))
+    rt = rt.repartitionById(plan.tasks, F.col("__task"))
+    return lt.join(rt.hint("shuffle_hash") if how != "inner" else rt, ["__task", *keys], how).drop("__task")

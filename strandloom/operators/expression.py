@@ -158,7 +158,7 @@ def silhouette(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     d = base.join(F.broadcast(all_)).select("cluster", F.transform("t", lambda c: F.struct(c["cluster"].alias("c"), c["n"].alias("n"), (F.col("q") * c["n"] + c["q"] - 2 * dot(F.col("profile"), c["y"])).alias("d"))).alias("d"))
     own = F.get(F.filter("d", lambda c: c["c"] == F.col("cluster")), F.lit(0))
-    a = own["d"] / (own["n"] - 1)
+    a = F.try_divide(own["d"], own["n"] - 1)
     b = F.array_min(F.transform(F.filter("d", lambda c: c["c"] != F.col("cluster")), lambda c: c["d"] / c["n"]))
-    s = F.when(own["n"] == 1, 0.0).otherwise((b - a) / F.greatest(a, b))
+    s = F.when(own["n"] == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     return d.select("cluster", s.alias("s")).groupBy("cluster").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))

@@ -128,7 +128,12 @@ def size_factors(m: DataFrame) -> DataFrame:
     full = m.groupBy("row").agg(F.min("value").alias("lo"), F.count("*").alias("n"), F.exp(F.avg(F.when(F.col("value") > 0, F.ln("value")))).alias("g"))
     ok = full.join(F.broadcast(n_cols)).filter((F.col("lo") > 0) & (F.col("n") == F.col("_c"))).select("row", "g")
     q = m.join(ok, "row").withColumn("_q", F.col("value") / F.col("g"))
-    return medians(q, "col", "_q", "_m").select("col", (1 / F.col("_m")).alias("factor"))
+    return medians(q, "col", "_q", "_m").select("col", F.try_divide(F.lit(1.0), "_m").alias("factor"))
+
+
+def corr_of(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate that is null, not an error, without spread; both columns must be present or lost together."""
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
 def correlation(m: DataFrame, by: str = "col", ranks: bool = False) -> DataFrame:
@@ -142,8 +147,7 @@ def correlation(m: DataFrame, by: str = "col", ranks: bool = False) -> DataFrame
     # One list per line of the other dimension, expanded to its pairs map-side.
     lists = src.groupBy(other).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.col("value").alias("v")))).alias("c"))
     pairs = lists.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b"), x["v"].alias("x"), y["v"].alias("y")))))).alias("p")).select("p.*")
-    n, sx, sy, sxx, syy, sxy = F.count("*"), F.sum("x"), F.sum("y"), F.sum(F.col("x") ** 2), F.sum(F.col("y") ** 2), F.sum(F.col("x") * F.col("y"))
-    return pairs.groupBy("a", "b").agg(n.alias("n"), F.corr("x", "y").alias("r"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), corr_of("x", "y").alias("r"))
 
 
 def js_distance(p: Column, q: Column) -> Column:

@@ -75,7 +75,6 @@ def two_sample_peaks(sample: DataFrame, control: DataFrame, sizes: DataFrame, si
 def segment_scores(sample: DataFrame, control: DataFrame, sizes: DataFrame, window: int) -> DataFrame:
     """-log10 p of the sample against the control in every window: Poisson and Skellam score machines."""
     j = S.two_sample_windows(sample, control, sizes, window, 0)
-    la, lb = F.col("total_a") / F.col("region_a"), F.col("total_b") / F.col("region_b")
     minus = lambda p: -F.log10(F.greatest(p, F.lit(1e-300)))
     return j.select("chrom", "start_pos", "end_pos", "a", "b", minus("poisson_p").alias("poisson_score"), minus("skellam_p").alias("skellam_score"))
 
@@ -122,7 +121,7 @@ def null_ratios(sample: DataFrame, control: DataFrame, sizes: DataFrame, size: i
     j = counts(sample, "a", seed).join(counts(control, "b", seed + 1), keys, "full").fillna(0.0, ["a", "b"])
     ta, tb = sample.agg(F.sum("weight").alias("ta")), control.agg(F.sum("weight").alias("tb"))
     j = j.join(F.broadcast(ta)).join(F.broadcast(tb))
-    return j.select(*keys, F.log2(S.ratio(F.col("a") * 1e9 / (F.col("ta") * size), F.col("b") * 1e9 / (F.col("tb") * size))).alias("log2_ratio"))
+    return j.select(*keys, F.log2(S.ratio(F.try_divide(F.col("a") * 1e9, F.col("ta") * size), F.try_divide(F.col("b") * 1e9, F.col("tb") * size))).alias("log2_ratio"))
 
 
 def ratio_permutation_peaks(sample: DataFrame, control: DataFrame, sizes: DataFrame, size: int, overlap: int, rounds: int, quantile: float, seed: int) -> DataFrame:

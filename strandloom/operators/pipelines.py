@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import expression as E
+from strandloom.operators import matrix as M
 from strandloom.operators import scores as SC
 from strandloom.operators import setops
 from strandloom.operators import stats as S
@@ -37,10 +38,13 @@ def group_windows(counts: DataFrame, groups: DataFrame, a: str, b: str, rounds:
     g = [(r["sample"], r["group"]) for r in groups.collect()]
     names = [s for s, _ in g]
     k = sum(x == a for _, x in g)
+    if not 0 < k < len(g):  # nothing to compare
+        none = counts.sparkSession.createDataFrame([], "t double, p_perm double")
+        return counts.select("chrom", "start_pos", "end_pos").limit(0).join(none if rounds else none.drop("p_perm"))
     if math.comb(len(names), k) > 5_000:
         raise ValueError("too many sample permutations")
     total = counts.groupBy("sample").agg(F.sum("count").alias("_t"))
-    norm = counts.join(bounded_broadcast(total), "sample").withColumn("v", F.col("count") * 1e6 / F.col("_t"))
+    norm = counts.join(bounded_broadcast(total), "sample").withColumn("v", F.try_divide(F.col("count") * 1e6, F.col("_t")))
     place = ["chrom", "start_pos", "end_pos"]
     wide = norm.groupBy(*place).agg(*[F.coalesce(F.sum(F.when(F.col("sample") == s, F.col("v"))), F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(names)])
 
@@ -90,14 +94,14 @@ def normalised_counts(regions: DataFrame, reads: DataFrame, key: str, parents: D
     if parents is None:
         return out.select(key, "count", "per_fragment", F.lit(None).cast("double").alias("over_parent"))
     p = overlap_join(parents, reads, "inner").groupBy(key, (F.col("end_pos") - F.col("start_pos")).alias("_pl")).agg(F.sum("weight_r").alias("_pc"))
-    return out.join(p, key, "left").select(key, "count", "per_fragment", ((F.col("count") / F.col("_l")) / (F.col("_pc") / F.col("_pl"))).alias("over_parent"))
+    return out.join(p, key, "left").select(key, "count", "per_fragment", F.try_divide(F.col("count") / F.col("_l"), F.col("_pc") / F.col("_pl")).alias("over_parent"))
 
 
 def count_matrix(regions: DataFrame, reads: DataFrame, key: str, sample: str) -> DataFrame:
     """Long matrix (row, col, value): weighted reads of every sample over every region, per million reads of the sample."""
     total = reads.filter(F.col(sample).isNotNull()).groupBy(F.col(sample).alias("col")).agg(F.sum("weight").alias("_t"))
     c = overlap_join(regions, reads, "inner").groupBy(F.col(key).alias("row"), F.col(f"{sample}_r").alias("col")).agg(F.sum("weight_r").alias("_c"))
-    return c.join(bounded_broadcast(total), "col").select("row", "col", (F.col("_c") * 1e6 / F.col("_t")).alias("value"))
+    return c.join(bounded_broadcast(total), "col").select("row", "col", F.try_divide(F.col("_c") * 1e6, F.col("_t")).alias("value"))
 
 
 def batch_fold(m: DataFrame, batches: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def _enrichment_by(ranked: DataFrame, sets: DataFrame) -> DataFrame:
 
 def pattern_enrichment(m: DataFrame, pattern: DataFrame, sets: DataFrame) -> DataFrame:
     """Running enrichment of rows ranked by their correlation with a pattern over the columns (``pattern`` is (col, x))."""
-    c = m.join(bounded_broadcast(pattern), "col").groupBy(F.col("row").alias("gene")).agg(F.corr("value", "x").alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    c = m.join(bounded_broadcast(pattern), "col").groupBy(F.col("row").alias("gene")).agg(M.corr_of("value", "x").alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
     return E.running_enrichment(c, sets)
 
 

@@ -215,25 +215,25 @@ def parse_lines(df: DataFrame, chrom_sizes: DataFrame, line: str = "raw_line", l
     made = ["kind", "fields", "track", "errors"]
     base = df.drop(*made)
     s = _strip(F.col(line))
-    staged = base.withColumn("kind", line_kind(F.col(line))).withColumn("_s", s)
+    staged = base.withColumn("kind", line_kind(F.col(line))).withColumn("__s", s)
     is_ann, is_track = F.col("kind") == "annotation", F.col("kind") == "track"
-    staged = staged.withColumn("_q", F.when(is_ann, quoted_ok(F.col("_s"))).when(is_track, track_quoted_ok(F.col("_s"))))
-    staged = staged.withColumn("fields", F.when(is_ann & F.col("_q"), unwrap_fields(F.col("_s"))))
-    staged = staged.withColumn("_words", F.when(is_track & F.col("_q"), track_words(F.col("_s"))))
-    staged = staged.withColumn("_chrom", F.get("fields", F.lit(0)))
-    sizes = chrom_sizes.filter(F.col("chrom").isNotNull()).groupBy(F.col("chrom").alias("_chrom")).agg(F.max("length").alias("_length"))
-    j = staged.join(table_broadcast(sizes), "_chrom", "left")
+    staged = staged.withColumn("__q", F.when(is_ann, quoted_ok(F.col("__s"))).when(is_track, track_quoted_ok(F.col("__s"))))
+    staged = staged.withColumn("fields", F.when(is_ann & F.col("__q"), unwrap_fields(F.col("__s"))))
+    staged = staged.withColumn("__words", F.when(is_track & F.col("__q"), track_words(F.col("__s"))))
+    staged = staged.withColumn("__chrom", F.get("fields", F.lit(0)))
+    sizes = chrom_sizes.filter(F.col("chrom").isNotNull()).groupBy(F.col("chrom").alias("__chrom")).agg(F.max("length").alias("__length"))
+    j = staged.join(table_broadcast(sizes), "__chrom", "left")
     columns_ok = F.coalesce(F.size("fields") == F.col(layout), F.lit(False))
     value = lambda errors: F.transform(errors, lambda e: F.concat(F.lit("value:"), e))
     none = F.array().cast("array<string>")
     errors = (
-        F.when((is_ann | is_track) & ~F.col("_q"), F.array(F.lit("quoting")))
+        F.when((is_ann | is_track) & ~F.col("__q"), F.array(F.lit("quoting")))
         .when(is_ann & ~columns_ok, F.array(F.lit("columns")))
-        .when(is_ann, value(let(F.col("fields"), lambda f: annotation_errors(f, F.col(layout), F.col("_length")))))
-        .when(is_track, value(let(F.col("_words"), track_errors)))
+        .when(is_ann, value(let(F.col("fields"), lambda f: annotation_errors(f, F.col(layout), F.col("__length")))))
+        .when(is_track, value(let(F.col("__words"), track_errors)))
         .otherwise(none)
     )
-    track = F.filter("_words", lambda w: w["v"].isNotNull())
+    track = F.filter("__words", lambda w: w["v"].isNotNull())
     return j.withColumn("errors", errors).withColumn("track", track).select(*base.columns, *made)
 
 

@@ -18,11 +18,11 @@ critical = K.arrow_udf(K.critical_count, "long")
 
 
 def rpkm(count: Column, total: Column, length: Column) -> Column:
-    return count * 1e9 / (total * length)
+    return F.try_divide(count * 1e9, total * length)
 
 
 def rpk(count: Column, length: Column) -> Column:
-    return count / (length / 1000)
+    return F.try_divide(count, length / 1000)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -31,13 +31,13 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def enrichment_over_control(a: Column, b: Column, total_a: Column, total_b: Column) -> Column:
-    return (a / total_a) / (b / total_b)
+    return F.try_divide(F.try_divide(a, total_a), F.try_divide(b, total_b))
 
 
 def global_stats(reads: DataFrame, sizes: DataFrame) -> DataFrame:
     """(chrom, length, count, lambda): weighted reads per chromosome and their rate; unknown chromosomes are left out."""
     c = reads.groupBy("chrom").agg(F.sum("weight").alias("count"))
-    return sizes.join(c, "chrom", "left").select("chrom", "length", F.coalesce("count", F.lit(0.0)).alias("count"), (F.coalesce("count", F.lit(0.0)) / F.col("length")).alias("lambda"))
+    return sizes.join(c, "chrom", "left").select("chrom", "length", F.coalesce("count", F.lit(0.0)).alias("count"), F.try_divide(F.coalesce("count", F.lit(0.0)), "length").alias("lambda"))
 
 
 def window_counts(reads: DataFrame, sizes: DataFrame, size: int, overlap: int, fully_contained: bool = False) -> DataFrame:
@@ -53,7 +53,7 @@ def scored_windows(reads: DataFrame, sizes: DataFrame, size: int, overlap: int)
     total = stats.agg(F.sum("count").alias("total"))
     c = window_counts(reads, sizes, size, overlap).join(F.broadcast(stats.withColumnRenamed("count", "chrom_count")) if stats.count() <= 100_000 else stats.withColumnRenamed("count", "chrom_count"), "chrom").join(F.broadcast(total))
     n = F.lit(float(size))
-    c = c.withColumn("rpkm", rpkm(F.col("count"), F.col("total"), n)).withColumn("enrichment", F.col("count") / n / F.col("lambda"))
+    c = c.withColumn("rpkm", rpkm(F.col("count"), F.col("total"), n)).withColumn("enrichment", F.try_divide(F.col("count") / n, "lambda"))
     return c.withColumn("scan_p", scan_p(F.col("count"), F.col("lambda"), n, F.col("length").cast("double")))
 
 
@@ -69,7 +69,7 @@ def two_sample_windows(sample: DataFrame, control: DataFrame, sizes: DataFrame,
     j = j.join(sa, "chrom").join(sb, "chrom").join(F.broadcast(ta)).join(F.broadcast(tb))
     n = F.lit(float(size))
     ra, rb = rpkm(F.col("a"), F.col("total_a"), n), rpkm(F.col("b"), F.col("total_b"), n)
-    p = F.col("total_a") / (F.col("total_a") + F.col("total_b"))
+    p = F.try_divide(F.col("total_a"), F.col("total_a") + F.col("total_b"))
     return j.select(
         *keys, "a", "b", "region_a", "region_b", "total_a", "total_b", ratio(ra, rb).alias("ratio"), F.log2(ratio(ra, rb)).alias("log2_ratio"),
         enrichment_over_control(F.col("a"), F.col("b") + 1, F.col("total_a"), F.col("total_b")).alias("enrichment"),

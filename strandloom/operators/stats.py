@@ -32,10 +32,10 @@ def moments(df: DataFrame, keys: Sequence[str], group: str, value: str, a: str,
 
 def tuned_t(m: DataFrame, tuning: float = 0.0) -> DataFrame:
     """``t``: difference of means over pooled sd x sqrt(1/n1 + 1/n2) plus a tuning constant; ``p`` without tuning."""
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / (F.col("n1") + F.col("n2") - 2))
-    se = pooled * F.sqrt(1 / F.col("n1") + 1 / F.col("n2")) + tuning
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2"), F.col("n1") + F.col("n2") - 2))
+    se = pooled * F.sqrt(F.try_divide(F.lit(1.0), "n1") + F.try_divide(F.lit(1.0), "n2")) + tuning
     ok = (F.col("n1") > 1) & (F.col("n2") > 1) & (se > 0)
-    out = m.withColumn("t", F.when(ok, (F.col("mean1") - F.col("mean2")) / se))
+    out = m.withColumn("t", F.when(ok, F.try_divide(F.col("mean1") - F.col("mean2"), se)))
     return out.withColumn("p", t_p("t", (F.col("n1") + F.col("n2") - 2).cast("double")))
 
 
@@ -53,10 +53,10 @@ def anova(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFra
     """F statistic and p of the groups' means per key; null with fewer than two groups or no spread within."""
     g = df.filter(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
     n, k = F.sum("n"), F.count("*")
-    grand = F.sum(F.col("n") * F.col("m")) / n
+    grand = F.try_divide(F.sum(F.col("n") * F.col("m")), n)
     within = F.sum((F.col("n") - 1) * F.col("v"))
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) - n * grand * grand
-    f = F.when((k > 1) & (n > k) & (within > 0), (between / (k - 1)) / (within / (n - k)))
+    f = F.when((k > 1) & (n > k) & (within > 0), F.try_divide(F.try_divide(between, k - 1), F.try_divide(within, n - k)))
     out = g.groupBy(*keys).agg(k.alias("groups"), n.alias("n"), f.alias("f"))
     return out.withColumn("p", f_p("f", (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")))
 
@@ -157,7 +157,7 @@ def empirical_p(df: DataFrame, background: DataFrame, value: str) -> DataFrame:
     t = u.agg(F.sum("_b").alias("_n"))
     c = Ordered(u, [], [value]).running({"_upto": ("sum", F.col("_b"))}).filter("_x").join(F.broadcast(t))
     below = F.col("_upto") - F.col("_b")
-    c = c.select(value, (1 - below / F.col("_n")).alias("p"), ((F.col("_n") - below + 1) / (F.col("_n") + 1)).alias("p_plus_one"))
+    c = c.select(value, (1 - F.try_divide(below, F.col("_n"))).alias("p"), ((F.col("_n") - below + 1) / (F.col("_n") + 1)).alias("p_plus_one"))
     return df.join(c, value)
 
 
@@ -167,7 +167,7 @@ def empirical_p(df: DataFrame, background: DataFrame, value: str) -> DataFrame:
 def histogram(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, bins: int, clamp: bool = True) -> DataFrame:
     """(keys, bin, start, n): equal-width bins from 0; values outside go to the edge bins, or nowhere."""
     width = (hi - lo) / bins
-    b = F.floor((F.col(value) - lo) / width).cast("int")
+    b = F.floor(F.least(F.greatest((F.col(value) - lo) / width, F.lit(-1.0)), F.lit(float(bins)))).cast("int")
     ok = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     ok = ok if clamp else ok.filter((F.col(value) >= lo) & (F.col(value) <= hi))
     return ok.groupBy(*keys, F.greatest(F.lit(0), F.least(F.lit(bins - 1), b)).alias("bin")).agg(F.count("*").alias("n")).withColumn("start", lo + F.col("bin") * width)
@@ -196,9 +196,9 @@ def compare_histograms(a: DataFrame, b: DataFrame, pseudo: float = 0.0) -> DataF
     """One row: Kullback-Leibler divergence of a from b (natural log) and chi-square distance of their shares."""
     j = a.select("bin", F.col("n").alias("x")).join(b.select("bin", F.col("n").alias("y")), "bin", "full").fillna(0)
     t = j.agg(F.sum(F.col("x") + pseudo).alias("tx"), F.sum(F.col("y") + pseudo).alias("ty"))
-    p, q = (F.col("x") + pseudo) / F.col("tx"), (F.col("y") + pseudo) / F.col("ty")
-    kl = F.sum(F.when((p > 0) & (q > 0), p * F.ln(p / q)).when(p > 0, F.lit(float("inf"))).otherwise(0.0))
-    return j.join(F.broadcast(t)).agg(kl.alias("kl"), F.sum(F.when(p + q > 0, (p - q) ** 2 / (p + q)).otherwise(0.0)).alias("chi2"))
+    p, q = F.try_divide(F.col("x") + pseudo, F.col("tx")), F.try_divide(F.col("y") + pseudo, F.col("ty"))
+    kl = F.sum(F.when((p > 0) & (q > 0), p * F.ln(F.try_divide(p, q))).when(p > 0, F.lit(float("inf"))).otherwise(0.0))
+    return j.join(F.broadcast(t)).agg(kl.alias("kl"), F.sum(F.when(p + q > 0, F.try_divide((p - q) ** 2, p + q)).otherwise(0.0)).alias("chi2"))
 
 
 # --- sequences of numbers ----------------------------------------------------------------

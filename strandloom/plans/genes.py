@@ -243,7 +243,7 @@ def sample_tree(spark, d):
     at = {n: i for i, n in enumerate(names)}
     dist = np.zeros((len(names), len(names)))
     for r in c:
-        dist[at[r["a"]], at[r["b"]]] = dist[at[r["b"]], at[r["a"]]] = 1 - r["r"]
+        dist[at[r["a"]], at[r["b"]]] = dist[at[r["b"]], at[r["a"]]] = 1 - (r["r"] or 0.0)
     lab = HC.cut(HC.linkage(dist, "complete"), len(names), 4)
     return spark.createDataFrame([(n, int(x)) for n, x in zip(names, lab)], "sample string, cluster int")
 

@@ -40,7 +40,7 @@ def minus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chrom_sizes").filter(F.col("chrom").isNotNull() & (F.col("length") > 0))
+    return table(spark, d, "chrom_sizes").select("chrom", "length").filter(F.col("chrom").isNotNull() & (F.col("length") > 0))
 
 
 # --- joins -------------------------------------------------------------------------------

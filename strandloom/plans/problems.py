@@ -70,7 +70,7 @@ def p1_depth_by_chrom(spark: SparkSession, d: str) -> DataFrame:
     reads = table(spark, d, "reads").select(chrom_key("chrom").alias("key"), "weight", "start_pos", "end_pos")
     plan = balance.plan_load(reads, ["key"])
     j = balance.balanced_join(reads, _spelled(spark, d), ["key"], plan=plan)
-    depth = F.sum(F.coalesce(F.col("weight") * (F.col("end_pos") - F.col("start_pos")), F.lit(0.0))) / F.max("length") * 1e6
+    depth = F.try_divide(F.sum(F.coalesce(F.col("weight") * (F.col("end_pos") - F.col("start_pos")), F.lit(0.0))), F.max("length")) * 1e6
     return j.groupBy(F.col("spelled").alias("chrom")).agg(F.count("*").alias("n_rows"), F.round(depth, 4).alias("depth_ppm"))
 
 
@@ -105,7 +105,7 @@ def p4_error_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_intervals(spark: SparkSession, d: str) -> DataFrame:
     """intervals with chromosomes as spelled in chrom_sizes (unknown ones without case and blanks)."""
-    iv = table(spark, d, "intervals").withColumn("key", chrom_key("chrom"))
+    iv = table(spark, d, "intervals").select("interval_id", "chrom", "start_pos", "end_pos", "name", "score", "strand").withColumn("key", chrom_key("chrom"))
     j = iv.join(table_broadcast(_spelled(spark, d).drop("length")), "key", "left")
     return j.withColumn("chrom", F.coalesce("spelled", "key")).drop("key", "spelled")
 

@@ -28,10 +28,13 @@ rd AS (
 ), mp AS (SELECT * FROM rd WHERE chrom IS NOT NULL AND end_pos > start_pos)"""
 
 
+READ_COLUMNS = "rec_id name flag chrom pos mapq cigar mate_chrom mate_pos tlen seq qual tags start_pos end_pos blocks weight strand".split()
+
+
 def rd(spark: SparkSession, d: str) -> DataFrame:
     """reads with chromosomes as spelled in chrom_sizes."""
     names = table_broadcast(_spelled(spark, d).select("key", "spelled"))
-    r = table(spark, d, "reads").withColumn("key", chrom_key("chrom")).withColumn("mkey", chrom_key("mate_chrom"))
+    r = table(spark, d, "reads").select(*READ_COLUMNS).withColumn("key", chrom_key("chrom")).withColumn("mkey", chrom_key("mate_chrom"))
     r = r.join(names, "key", "left").withColumn("chrom", F.coalesce("spelled", "key")).drop("key", "spelled")
     r = r.join(names.withColumnRenamed("key", "mkey"), "mkey", "left").withColumn("mate_chrom", F.coalesce("spelled", "mkey")).drop("mkey", "spelled")
     return r
