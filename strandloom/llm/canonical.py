@@ -211,7 +211,7 @@ def _plain_batches(text: str):
             texts = [None if t is None else plain(t) for t in b.column(i).to_pylist()]
             mixed = [None if t is None else mixed_tokens(t) for t in texts]
             cols = [pa.array(texts, pa.string()) if j == i else b.column(j) for j in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(mixed, pa.list_(pa.string()))], names=[*b.schema.names, "_mixed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(mixed, pa.list_(pa.string()))], names=[*b.schema.names, "__mixed"])
 
     return run
 
@@ -223,7 +223,7 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
     word whose repaired form isn't one of them is left as it is.  Rows, their order
     of columns and other columns are kept.
     """
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField("_mixed", T.ArrayType(T.StringType()), True)])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField("__mixed", T.ArrayType(T.StringType()), True)])
     base = stage(df.mapInArrow(_plain_batches(text), schema), "plain")
 
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,17 +232,17 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
             good = [(a, r) for a in w if (r := repair(a)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.string()), pa.array([r for _, r in good], pa.string())], names=["word", "fixed"])
 
-    mixed = base.select(F.explode("_mixed").alias("word")).distinct()
+    mixed = base.select(F.explode("__mixed").alias("word")).distinct()
     wanted = bounded_broadcast(mixed.mapInArrow(fix, "word string, fixed string"))
     # Words of the corpus, joined to the wanted ones before anything is shuffled.
     words = base.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}\p{L}*+)"), 1))).alias("fixed"))
     known = words.join(wanted, "fixed", "left_semi").distinct()
     repairs = bounded_broadcast(wanted.join(known, "fixed"))
     # Only rows with mixed words are touched.
-    touched = base.filter(F.size("_mixed") > 0).withColumn("_row", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
-    clean = base.filter(F.coalesce(F.size("_mixed"), F.lit(0)) <= 0).drop("_mixed")
+    touched = base.filter(F.size("__mixed") > 0).withColumn("__row", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
+    clean = base.filter(F.coalesce(F.size("__mixed"), F.lit(0)) <= 0).drop("__mixed")
     touched = stage(touched, "mixed")
-    maps = touched.select("_row", F.explode("_mixed").alias("word")).join(repairs, "word").groupBy("_row").agg(F.collect_list(F.struct("word", "fixed")).alias("_fix"))
+    maps = touched.select("__row", F.explode("__mixed").alias("word")).join(repairs, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "fixed")).alias("__fix"))
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
             cols = [pa.array(texts, pa.string()) if j == i else b.column(j) for j in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    fixed = touched.join(maps, "_row", "left").select(*df.columns, "_fix").mapInArrow(apply, out_schema)
+    fixed = touched.join(maps, "__row", "left").select(*df.columns, "__fix").mapInArrow(apply, out_schema)
     return clean.unionByName(fixed)
 
 

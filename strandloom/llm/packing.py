@@ -81,4 +81,4 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, total: int, seed: i
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, items, units packed, share of space unused."""
     per = packed.groupBy("grp", "container").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("used"), F.lit(0)).alias("units"), (1 - F.sum("used") / (F.count("*") * capacity)).alias("unused_share"))
+    return per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("used"), F.lit(0)).alias("units"), (1 - F.try_divide(F.sum("used"), F.count("*") * capacity)).alias("unused_share"))

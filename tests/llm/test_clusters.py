@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from strandloom.llm import clusters as K
+from strandloom.operators.graph import components
 
 
 def brute(x, names, r=0.9):
@@ -83,9 +84,9 @@ def test_recall_of_links(spark):
 
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r["id"]: r["pivot"] for r in K.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["id"]: r["pivot"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140)) and got[201] == 200
-    assert K.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_descriptions(spark):
