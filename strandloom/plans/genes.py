@@ -200,11 +200,15 @@ def count_matrix(spark, d):
     return PL.count_matrix(wide, r, "interval_id", "lib").withColumn("value", F.round("value", 4))
 
 
-@R.add("normalised_counts")
+@R.add("normalised_counts", f"""
+WITH {RD}, {IV}, s AS (SELECT a.interval_id, a.end_pos - a.start_pos + 40000 AS l, sum(b.weight) AS c FROM iv a JOIN mp b ON a.chrom = b.chrom AND a.start_pos - 20000 < b.end_pos AND b.start_pos < a.end_pos + 20000 GROUP BY 1, 2),
+p AS (SELECT a.interval_id, a.end_pos - a.start_pos + 400000 AS l, sum(b.weight) AS c FROM iv a JOIN mp b ON a.chrom = b.chrom AND a.start_pos - 200000 < b.end_pos AND b.start_pos < a.end_pos + 200000 GROUP BY 1, 2)
+SELECT s.interval_id, round(s.c, 6) AS count, round(s.c / (s.l / 200.0), 6) AS per_fragment, round((s.c / s.l) / (p.c / p.l), 6) AS over_parent FROM s JOIN p ON s.interval_id = p.interval_id
+""")
 def normalised_counts(spark, d):
     wide = lambda k: iv(spark, d).select("interval_id", "chrom", (F.col("start_pos") - k).alias("start_pos"), (F.col("end_pos") + k).alias("end_pos"))
     r = mapped(spark, d).select("chrom", "start_pos", "end_pos", "weight")
-    return PL.normalised_counts(wide(20_000), r, "interval_id", wide(200_000), 200.0)
+    return r6(PL.normalised_counts(wide(20_000), r, "interval_id", wide(200_000), 200.0), "count", "per_fragment", "over_parent")
 
 
 @R.add("batch_fold", f"WITH {MX}, b AS (SELECT *, CAST(right(col, 2) AS INTEGER) % 4 AS batch FROM m) SELECT row, col, round(value - median(value) OVER (PARTITION BY row, batch), 6) AS value FROM b")

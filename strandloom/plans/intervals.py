@@ -429,13 +429,19 @@ def score_histogram(spark, d):
     return T.histogram(iv(spark, d), [], "score", 0.0, 1000.0, 20)
 
 
-@R.add("histogram_quantiles")
+@R.add("histogram_quantiles", f"""
+WITH {IV}, h AS (SELECT chrom, CAST(greatest(0, least(99, floor(score / 10))) AS INTEGER) AS bin, count(*) AS n FROM iv WHERE score IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY bin) / sum(n) OVER (PARTITION BY chrom) AS c FROM h) SELECT chrom, min(bin) * 10.0 + 5.0 AS quantile FROM c WHERE c > 0.5 GROUP BY 1
+""")
 def histogram_quantiles(spark, d):
     h = T.histogram(iv(spark, d), ["chrom"], "score", 0.0, 1000.0, 100)
     return T.bin_quantile(h, ["chrom"], 0.5, 10.0)
 
 
-@R.add("compare_score_histograms")
+@R.add("compare_score_histograms", f"""
+WITH {IV}, h AS (SELECT strand, CAST(greatest(0, least(19, floor(score / 50))) AS INTEGER) AS bin FROM iv WHERE score IS NOT NULL AND strand IN ('+', '-')), b AS (SELECT bin, count(*) FILTER (strand = '+') + 1.0 AS x, count(*) FILTER (strand = '-') + 1.0 AS y FROM h GROUP BY 1),
+p AS (SELECT x / sum(x) OVER () AS p, y / sum(y) OVER () AS q FROM b) SELECT round(sum(p * ln(p / q)), 9) AS kl, round(sum((p - q) * (p - q) / (p + q)), 9) AS chi2 FROM p
+""")
 def compare_score_histograms(spark, d):
     """Kullback-Leibler and chi-square distance of the strands' score distributions, pseudo-counts added."""
-    return T.compare_histograms(T.histogram(plus(spark, d), [], "score", 0.0, 1000.0, 20), T.histogram(minus(spark, d), [], "score", 0.0, 1000.0, 20), 1.0)
+    return T.compare_histograms(T.histogram(plus(spark, d), [], "score", 0.0, 1000.0, 20), T.histogram(minus(spark, d), [], "score", 0.0, 1000.0, 20), 1.0).select(F.round("kl", 9).alias("kl"), F.round("chi2", 9).alias("chi2"))

@@ -296,10 +296,13 @@ def set_enrichment_p(spark, d):
     return E.set_enrichment(sets, sel, universe)
 
 
-@R.add("set_max_mean")
+@R.add("set_max_mean", """
+WITH sets AS (SELECT DISTINCT p_brand AS set, p_partkey AS gene FROM part), rk AS (SELECT l_partkey AS gene, round(sum(l_extendedprice * (l_discount - 0.05)), 4) AS score FROM lineitem GROUP BY 1),
+s AS (SELECT set, sum(greatest(score, 0)) / count(*) AS p, sum(least(score, 0)) / count(*) AS n FROM sets JOIN rk ON sets.gene = rk.gene GROUP BY 1) SELECT set, round(CASE WHEN p >= -n THEN p ELSE n END, 3) AS max_mean FROM s
+""")
 def set_max_mean(spark, d):
     sets, rk = gene_sets(spark, d)
-    return E.gene_set_max_mean(rk, sets)
+    return E.gene_set_max_mean(rk, sets).withColumn("max_mean", F.round("max_mean", 3))
 
 
 @R.add("signatures", f"""

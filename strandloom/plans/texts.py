@@ -252,12 +252,12 @@ def sam_round_trip(spark, d):
     return p.groupBy("name", "flag", "chrom", "pos", "cigar", "seq", "weight").agg(F.count("*").alias("n"))
 
 
-@R.add("refseq_lines")
+@R.add("refseq_lines", f"{TX} SELECT rec_id, concat_ws(chr(9), name, name, chrom, strand, start_pos, end_pos, end_pos, end_pos, len(blocks), array_to_string([b.start_pos for b in blocks], ',') || ',', array_to_string([b.end_pos for b in blocks], ',') || ',') AS value FROM t")
 def refseq_lines(spark, d):
     return transcripts_of_reads(spark, d).select("rec_id", WR.refseq_line(F.col("name")).alias("value"))
 
 
-@R.add("transcript_sam_lines")
+@R.add("transcript_sam_lines", f"{TX}, x AS (SELECT *, array_to_string([(blocks[i].end_pos - blocks[i].start_pos) || 'M' || CASE WHEN i < len(blocks) THEN (blocks[i + 1].start_pos - blocks[i].end_pos) || 'N' ELSE '' END for i in range(1, len(blocks) + 1)], '') AS cigar FROM t) SELECT rec_id, concat_ws(chr(9), name, CASE WHEN strand = '-' THEN '16' ELSE '0' END, chrom, start_pos + 1, '255', cigar, '*', '0', '0', '*', '*') AS value FROM x")
 def transcript_sam_lines(spark, d):
     return transcripts_of_reads(spark, d).select("rec_id", WR.sam_line().alias("value"))
 
