@@ -17,8 +17,8 @@
 5. *Medoids.* Members are compared with their cluster's mean profile; the closest are
    its most typical rows.
 
-A pair of correlation 0.9 that has lost no energetic cells is missed by all tables
-with a probability below 1e-8; README gives the recall measured against all pairs.
+A pair of correlation 0.9 without lost cells meets in one table with probability
+0.24 and is missed by all with probability 2e-6; README gives the measured recall.
 """
 
 from __future__ import annotations

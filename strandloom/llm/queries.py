@@ -63,7 +63,14 @@ def expression_clusters(spark: SparkSession, d: str) -> DataFrame:
     return K.cluster_rows(table(spark, d, "expression"), "row_name", "col", "value")
 
 
-@R.add("p3_found")
+@R.add("p3_found", """
+WITH RECURSIVE m AS (SELECT row_name, col, log2(1 + max(value)) AS v FROM expression WHERE value IS NOT NULL AND NOT isnan(value) AND value > -1 AND row_name IS NOT NULL AND col IS NOT NULL GROUP BY 1, 2),
+varies AS (SELECT row_name FROM m GROUP BY 1 HAVING max(v) > min(v)), w AS (SELECT m.* FROM m JOIN varies USING (row_name)),
+p AS (SELECT a.row_name AS x, b.row_name AS y, corr(a.v, b.v) AS r FROM w a JOIN w b ON a.col = b.col AND a.row_name < b.row_name GROUP BY 1, 2),
+e AS (SELECT x AS a, y AS b FROM p WHERE r >= 0.9 AND NOT isnan(r) UNION ALL SELECT y, x FROM p WHERE r >= 0.9 AND NOT isnan(r)),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT a AS row_a, b AS row_b FROM reach WHERE a < b
+""")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return K.cluster_pairs(expression_clusters(spark, d))
 
