@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.session import parallelism
+from strandloom.session import parallelism, stage
 
 BUCKETS = 4096
 
@@ -147,6 +147,8 @@ def balanced_sums(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], p
     agg = [F.sum("__n").alias("__n"), *[F.sum(a).alias(a) for a in names]]
     once = part.repartitionById(plan.tasks, F.col("__task")).groupBy("__task", "__many", *keys).agg(*agg)
     if plan.heavy:
+        # Read below by two branches; without staging each would scan and combine the input again.
+        once = stage(once, "balanced")
         light = once.filter(~F.col("__many")).select(*keys, "__n", *names)
         split = once.filter("__many").groupBy(*keys).agg(*agg)
         once = light.unionByName(split.select(*keys, "__n", *names))
