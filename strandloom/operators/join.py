@@ -42,8 +42,14 @@ def _level(n: Column) -> Column:
     return out
 
 
-def _levels_of(df: DataFrame, n: Names) -> list[int]:
-    return sorted(r[0] for r in df.select(_level(F.col(n.end) - F.col(n.start)).alias("l")).distinct().collect())
+def _levels_of(*sides: tuple[DataFrame, Column]) -> list[int]:
+    """Levels of the lengths of all sides: one bit each in one number, so one job without a shuffle of rows."""
+    bits = None
+    for df, length in sides:
+        b = df.select(F.call_function("shiftleft", F.lit(1), _level(length)).alias("l"))
+        bits = b if bits is None else bits.union(b)
+    found = bits.agg(F.bit_or("l")).first()[0] or 0
+    return [i for i in range(len(LEVEL_BITS)) if found >> i & 1]
 
 
 def _bins(df: DataFrame, s: Column, e: Column, own: Column, levels: list[int]) -> DataFrame:
@@ -88,7 +94,7 @@ def overlap_join(
     if how != "inner":
         keyed = stage(keyed, "left")  # the row number must be the same wherever it is read
     lv, rv = _valid(keyed, ln), _valid(r, rn)
-    levels = sorted({*_levels_of(lv, ln), *_levels_of(rv.select(rn.chrom, (F.col(rn.start) - slack).alias(rn.start), (F.col(rn.end) + slack).alias(rn.end)), rn)})
+    levels = _levels_of((lv, F.col(ln.end) - F.col(ln.start)), (rv, F.col(rn.end) - F.col(rn.start) + 2 * slack))
     ls, le = F.col(ln.start).cast("long"), F.col(ln.end).cast("long")
     rs, re = (F.col(rn.start) - slack).cast("long"), (F.col(rn.end) + slack).cast("long")
     lb = _bins(lv.withColumn("_lown", _level(le - ls)), ls, le, F.col("_lown"), levels)

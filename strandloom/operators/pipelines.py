@@ -16,7 +16,7 @@ from strandloom.operators import setops
 from strandloom.operators import stats as S
 from strandloom.operators import windows as W
 from strandloom.operators.join import overlap_join
-from strandloom.session import bounded_broadcast, stage
+from strandloom.session import bounded_broadcast, stage, table_broadcast
 
 
 def sample_windows(reads: DataFrame, sizes: DataFrame, size: int, overlap: int, sample: str) -> DataFrame:
@@ -26,7 +26,7 @@ def sample_windows(reads: DataFrame, sizes: DataFrame, size: int, overlap: int,
     hit = ok.select(F.col(sample).alias("sample"), "chrom", "weight", F.explode(W._hit_windows(F.col("start_pos"), F.col("end_pos"), size, step)).alias("_w"))
     c = hit.groupBy("sample", "chrom", "_w").agg(F.sum("weight").alias("count"))
     out = c.select("sample", "chrom", (F.col("_w") * step).alias("start_pos"), (F.col("_w") * step + size).alias("end_pos"), "count")
-    return out.join(F.broadcast(sizes.select("chrom", "length")) if sizes.count() <= 100_000 else sizes.select("chrom", "length"), "chrom").filter(F.col("end_pos") <= F.col("length")).drop("length")
+    return out.join(table_broadcast(sizes.select("chrom", "length")), "chrom").filter(F.col("end_pos") <= F.col("length")).drop("length")
 
 
 def group_windows(counts: DataFrame, groups: DataFrame, a: str, b: str, rounds: bool = True, tuning: float = 0.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import kernels as K
 from strandloom.operators import windows as W
+from strandloom.session import table_broadcast
 
 scan_p = K.arrow_udf(K.scan_pvalue)
 poisson_p = K.arrow_udf(K.poisson_enrichment)
@@ -51,7 +52,7 @@ def scored_windows(reads: DataFrame, sizes: DataFrame, size: int, overlap: int)
     """Window counts with RPKM, enrichment over the chromosome's rate and the scan-statistic p value."""
     stats = global_stats(reads, sizes)
     total = stats.agg(F.sum("count").alias("total"))
-    c = window_counts(reads, sizes, size, overlap).join(F.broadcast(stats.withColumnRenamed("count", "chrom_count")) if stats.count() <= 100_000 else stats.withColumnRenamed("count", "chrom_count"), "chrom").join(F.broadcast(total))
+    c = window_counts(reads, sizes, size, overlap).join(table_broadcast(stats.withColumnRenamed("count", "chrom_count")), "chrom").join(F.broadcast(total))
     n = F.lit(float(size))
     c = c.withColumn("rpkm", rpkm(F.col("count"), F.col("total"), n)).withColumn("enrichment", F.try_divide(F.col("count") / n, "lambda"))
     return c.withColumn("scan_p", scan_p(F.col("count"), F.col("lambda"), n, F.col("length").cast("double")))

@@ -62,21 +62,28 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 BROADCAST_ROWS = 100_000
+SMALL_BYTES = 1 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Spark's bound on the size of ``df``, from the sizes of the files it reads; costs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``limit`` rows, else plain.
 
-    The size is measured, not assumed: the frame is staged first, so counting it
-    costs a footer read, and beyond the limit the join is an ordinary shuffle join.
+    The size is measured, not assumed: the frame is staged first, so its files can be
+    weighed (up to 1 MB is small without counting), and beyond the limit the join is an
+    ordinary shuffle join.
     """
     s = stage(df, "side")
-    return F.broadcast(s) if s.count() <= limit else s
+    return F.broadcast(s) if stored_bytes(s) <= SMALL_BYTES or s.count() <= limit else s
 
 
 def table_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """As ``bounded_broadcast`` for a frame that is cheap to count (a small stored table)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if stored_bytes(df) <= SMALL_BYTES or df.limit(limit + 1).count() <= limit else df
 
 
 def parallelism(spark: SparkSession) -> int:
