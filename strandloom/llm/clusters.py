@@ -10,11 +10,13 @@
 3. *Hot buckets.* A bucket above ``BUCKET_ROWS`` first absorbs the rows alike to its
    pivot (the row of least hash); then it is cut into tiles of two chunks each, and
    the tiles within its largest cluster, already joined through the pivot, are left out.
-4. *Pivot rounds.* Clusters grow from hash-ordered local minima: in every round each
-   cluster is absorbed by the least pivot among its neighbours, until no link leaves a
-   cluster.  Chains of alike rows thus end in one cluster, and no member is alike
-   to a row of another one.
-5. *Medoids.* Members are compared with their cluster's mean profile; the closest are
+4. *Sparse rows.* Lost cells lower the correlation the hashes see, so rows that lost more
+   than ``SPARSE`` of their cells are compared with all rows, tile by tile.
+5. *Pivot rounds.* Clusters grow by large star, small star: in every round each row is
+   handed to the least id among its neighbours, until no link leaves a cluster.  Ids
+   are given in order of partition, not by hash.  Chains of alike rows thus end in
+   one cluster, and no member is alike to a row of another one.
+6. *Medoids.* Members are compared with their cluster's mean profile; the closest are
    its most typical rows.
 
 A pair of correlation 0.9 without lost cells meets in one table with probability
@@ -39,6 +41,7 @@ WITHOUT_TABLES = 24
 DOMINANT = 0.10
 BUCKET_ROWS = 2048
 MAX_COLUMNS = 20_000
+SPARSE = 0.05
 
 
 def row_vectors(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
@@ -209,13 +212,66 @@ def _link_tiles(width: int, r: float):
     return run
 
 
+def _cross_forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component numbers of the rows and of the columns of a boolean link matrix, -1 without links."""
+    rows, cols = np.full(ok.shape[0], -1), np.full(ok.shape[1], -1)
+    for s in np.flatnonzero(ok.any(1)):
+        if rows[s] >= 0:
+            continue
+        rows[s], front = s, np.array([s])
+        while len(front):
+            new = np.flatnonzero(ok[front].any(0) & (cols < 0))
+            cols[new] = s
+            front = np.flatnonzero(ok[:, new].any(1) & (rows < 0))
+            rows[front] = s
+    return rows, cols
+
+
+def sparse_links(vectors: DataFrame, width: int, r: float, tile_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b): forest links of every tile of the rows with more than ``SPARSE`` of their cells lost against all rows."""
+    v = vectors.select("id", "vec")
+    sparse = F.size(F.array_compact("vec")) < (1 - SPARSE) * width
+    n, n_sparse = v.agg(F.count("*"), F.count_if(sparse)).first()
+    if not n_sparse:
+        return v.sparkSession.createDataFrame([], "a long, b long")
+    most = max(64, min(tile_rows, 2**22 // width))
+    down, across = -(-n_sparse // most), -(-n // most)
+    chunk = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
+    tiles = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = v.filter(sparse).select(chunk(down).alias("i"), tiles(across).alias("j"), "id", "vec")
+    right = v.select(tiles(down).alias("i"), chunk(across).alias("j"), "id", "vec")
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = x.column("id").to_numpy(), y.column("id").to_numpy()
+        vx, vy = (_matrix(t.column("vec").combine_chunks(), width) for t in (x, y))
+        ok = np.zeros((len(a), len(b)), dtype=bool)
+        for k in range(0, len(a), 256):
+            ok[k : k + 256] = alike(vx[k : k + 256], vy, r)
+        ok &= a[:, None] != b[None, :]
+        rows, cols = _cross_forest(ok)
+        root = np.concatenate([a[rows[rows >= 0]], a[cols[cols >= 0]]])
+        other = np.concatenate([a[rows >= 0], b[cols >= 0]])
+        keep = root != other
+        return pa.table({"a": np.minimum(root, other)[keep], "b": np.maximum(root, other)[keep]})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "a long, b long")
+
+
 def similar_links(vectors: DataFrame, r: float = 0.9, tables: int = TABLES, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links between ids of ``vectors`` (id, vec) that join exactly the rows a chain of alike rows joins."""
+    """(a, b): links between ids of ``vectors`` (id, vec) that join the rows a chain of alike rows joins.
+
+    Rows with more than ``SPARSE`` of their cells lost are compared with all rows, the others where a table joins them.
+    """
     head = vectors.select(F.size("vec").alias("n")).first()
     spark = vectors.sparkSession
     if head is None:
         return spark.createDataFrame([], "a long, b long")
     width = head["n"]
+    return hashed_links(vectors, width, r, tables, seed, bucket_rows).unionByName(sparse_links(vectors, width, r, bucket_rows)).distinct()
+
+
+def hashed_links(vectors: DataFrame, width: int, r: float, tables: int, seed: int, bucket_rows: int) -> DataFrame:
+    """(a, b): links between rows that meet in a table."""
     filed = vectors.select("id", "vec").mapInArrow(_signatures(width, tables, min(tables, WITHOUT_TABLES), seed), "bucket long, id long, vec array<float>")
     filed = stage(filed, "filed")
     hot = stage(filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("pivot")).filter(F.col("n") > bucket_rows), "hot")

@@ -82,6 +82,31 @@ def test_recall_of_links(spark):
     assert hit.mean() >= 0.999
 
 
+def lossy_pairs(n, share, seed, d=40):
+    """2 n rows of normal cells, pairs 0.9 to 1 alike over the columns both have, ``share`` of the cells of each row lost."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    while len(rows) < 2 * n:
+        a = rng.normal(size=d)
+        b = a + rng.normal(size=d) * 0.4
+        for x in (a, b):
+            x[rng.permutation(d)[: round(share * d)]] = np.nan
+        m = ~np.isnan(a) & ~np.isnan(b)
+        if m.sum() > 2 and np.corrcoef(a[m], b[m])[0, 1] >= 0.9:
+            rows += [a, b]
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.5])
+@pytest.mark.parametrize("bucket_rows", [2048, 64])
+def test_rows_with_many_lost_cells_match_brute_force(spark, share, bucket_rows):
+    x = np.concatenate([lossy_pairs(120, share, 5), np.random.default_rng(6).normal(size=(60, 40))])
+    names = [f"r{i:03d}" for i in range(len(x))]
+    v = np.exp2(x + 8) - 1
+    m = K.cluster_rows(table(spark, v, names), "row", "col", "value", bucket_rows=bucket_rows)
+    assert {tuple(r) for r in K.cluster_pairs(m).collect()} == brute(np.log2(1 + v), names)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["pivot"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
