@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +56,30 @@ def splice_graph(reads: DataFrame, least_reads: int = 3, least_share: float = 0.
 
 
 def k_paths(edges: dict[int, list[tuple[int, float]]], sources: list[int], sinks: set[int], k: int) -> list[tuple[float, list[int]]]:
-    """The ``k`` heaviest source-to-sink paths of a directed acyclic graph whose nodes are in topological order of their numbers."""
-    best: dict[int, list[tuple[float, list[int]]]] = {s: [(0.0, [s])] for s in sources}
+    """The ``k`` heaviest paths of every source-sink pair of a directed acyclic graph whose nodes are in topological order of their numbers.
+
+    Heaviest first; equal weights by their nodes.  Each source is searched on its own, so no
+    source's paths push out another's.
+    """
     nodes = sorted({*edges, *sources, *(t for e in edges.values() for t, _ in e)})
-    for n in nodes:
-        for t, w in edges.get(n, ()):
-            have = best.setdefault(t, [])
-            have += [(c + w, [*p, t]) for c, p in best.get(n, ())]
-            have.sort(key=lambda x: (-x[0], x[1]))
-            del have[k:]
-    out = [p for n in nodes if n in sinks for p in best.get(n, ())]
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:k]
+    out = []
+    for s in sources:
+        best: dict[int, list[tuple[float, list[int]]]] = {s: [(0.0, [s])]}
+        for n in nodes[bisect_left(nodes, s) :]:
+            # All edges into ``n`` come from lesser nodes, so its paths are complete here.
+            paths = sorted(best.pop(n, ()), key=lambda x: (-x[0], x[1]))[:k]
+            if n in sinks:
+                out += paths
+            for t, w in edges.get(n, ()) if paths else ():
+                best.setdefault(t, []).extend((c + w, [*p, t]) for c, p in paths)
+    return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS) -> DataFrame:
-    """(chrom, locus, path, weight, blocks): source-to-sink paths, the ``k`` heaviest of each locus.
+    """(chrom, locus, path, weight, blocks): source-to-sink paths, the ``k`` heaviest of each source-sink pair of a locus.
 
     Loci are the stretches joined by vertices and edges; one locus is one task's work,
-    chromosomes are not.  Path enumeration is exponential by nature; ``k`` bounds it per locus.
+    chromosomes are not.  Path enumeration is exponential by nature; ``k`` bounds it per pair.
     """
     ends = vertices.select("chrom", F.col("start_pos").alias("to_start"), "end_pos")
     spans = edges.join(ends, ["chrom", "to_start"]).select("chrom", F.col("from_start").alias("start_pos"), "end_pos")
