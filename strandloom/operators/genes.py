@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import blocks as B
@@ -10,6 +10,7 @@ from strandloom.functions import sequence as Q
 from strandloom.operators import setops
 from strandloom.operators.graph import components
 from strandloom.operators.join import overlap_join
+from strandloom.operators.windows import place_in_free
 from strandloom.session import stage
 
 
@@ -145,19 +146,11 @@ def amplicons(seqs: DataFrame, forward: str, reverse: str, most: int) -> DataFra
 def random_placement(t: DataFrame, free: DataFrame, seed: int) -> DataFrame:
     """Transcripts moved, structure kept, to seeded places inside free stretches long enough for them, chosen by their room.
 
-    The free stretches of a chromosome are laid end to end; a transcript's place is a hash on
-    that line, and it is drawn at the stretch holding it, pushed back to fit.  Transcripts longer
-    than that stretch get null blocks.
+    A transcript's place is drawn by a hash among all the starts at which it fits into a free stretch of its
+    chromosome.  Transcripts for which no stretch is long enough get null blocks.
     """
-    w = Window.partitionBy("chrom").orderBy("start_pos")
-    line = free.withColumn("_at", F.sum(F.col("end_pos") - F.col("start_pos")).over(w) - (F.col("end_pos") - F.col("start_pos")))
-    room = free.groupBy("chrom").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("_room"))
-    p = t.join(room, "chrom").withColumn("_p", F.pmod(F.xxhash64(F.lit(seed), "name"), "_room"))
-    e = p.select("name", "chrom", "blocks", F.col("_p").alias("start_pos"), (F.col("_p") + 1).alias("end_pos"))
-    seg = line.select("chrom", F.col("_at").alias("start_pos"), (F.col("_at") + F.col("end_pos") - F.col("start_pos")).alias("end_pos"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
-    j = overlap_join(e, seg, "inner")
-    to = F.least(F.col("s_r") + F.col("start_pos") - F.col("start_pos_r"), F.col("e_r") - B.span(F.col("blocks")))
-    return j.select("name", "chrom", F.when(to >= F.col("s_r"), B.move_to(F.col("blocks"), to)).alias("blocks"))
+    p = place_in_free(t.select("name", "chrom", "blocks"), free, B.span(F.col("blocks")), F.xxhash64(F.lit(seed), "name"))
+    return p.select("name", "chrom", F.when(F.col("_to").isNotNull(), B.move_to(F.col("blocks"), F.col("_to"))).alias("blocks"))
 
 
 def simulated_reads(t: DataFrame, length: int, per_transcript: int, seed: int) -> DataFrame:

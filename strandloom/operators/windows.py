@@ -7,13 +7,17 @@ map-side combine and no join with the window list.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import blocks as B
 from strandloom.operators import setops
 from strandloom.operators.join import overlap_join
-from strandloom.session import table_broadcast
+from strandloom.session import stage, table_broadcast
+
+PLACES = 1_000_000
 
 
 def _step(size: int, overlap: int) -> int:
@@ -84,24 +88,62 @@ def clip_to_chrom(df: DataFrame, sizes: DataFrame) -> DataFrame:
     return j.filter(F.col("start_pos") < F.col("end_pos")).drop("_len")
 
 
-def relocate(df: DataFrame, sizes: DataFrame, key: str, seed: int, tries: int = 10, rounds: int = 1, masks: DataFrame | None = None) -> DataFrame:
+def draw_starts(start: np.ndarray, end: np.ndarray, span: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A start for every span within one of the free stretches, and which have one; each possible start is as likely as any other.
+
+    With the stretches longest first, those long enough for a span are the first ``k``, and the
+    number of starts in the first ``i`` of them, their length less i (span - 1), grows with i: ``draw`` modulo
+    the number of all starts is looked up by bisection.
+    """
+    order = np.lexsort((start, start - end))
+    start, length = start[order], (end - start)[order]
+    total = np.concatenate([[0], np.cumsum(length)])
+    k = np.searchsorted(-length, -span, side="right")
+    starts = lambda i: total[i] - i * (span - 1)
+    room = starts(k)
+    p = np.mod(draw, np.maximum(room, 1))
+    lo, hi = np.zeros(len(span), dtype=np.int64), k.astype(np.int64)
+    while (lo < hi).any():  # the first stretch whose starts, with those before, are more than p
+        mid = (lo + hi) // 2
+        over = starts(np.minimum(mid + 1, len(length))) > p
+        hi, lo = np.where((lo < hi) & over, mid, hi), np.where((lo < hi) & ~over, mid + 1, lo)
+    fits = (k > 0) & (span >= 0)
+    at = np.where(fits, lo, 0)
+    return (start[at] + p - starts(at) if len(start) else np.zeros(len(span), dtype=np.int64)), fits
+
+
+def place_in_free(df: DataFrame, free: DataFrame, span: Column, draw: Column) -> DataFrame:
+    """``df`` (chrom) with ``_to``, a start drawn by the hash ``draw`` among all of ``free`` (chrom, start_pos, end_pos) where ``span`` bases fit; null if no stretch is long enough."""
+    keyed = df.withColumn("_span", span.cast("long")).withColumn("_draw", draw)
+    want = keyed.select("chrom", "_span", "_draw").filter(F.col("chrom").isNotNull() & F.col("_span").isNotNull()).distinct()
+    want = stage(want, "places")
+    parts = 1 + want.count() // PLACES
+    gaps = free.filter(F.col("end_pos") > F.col("start_pos")).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"), F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        to, fits = draw_starts(*(y.column(c).to_numpy() for c in ("start_pos", "end_pos")), *(x.column(c).to_numpy() for c in ("_span", "_draw")))
+        return x.drop_columns(["_part"]).append_column("_to", pa.array(to, mask=~fits))
+
+    split = want.withColumn("_part", F.pmod("_draw", F.lit(parts).cast("long")))
+    placed = split.groupBy("chrom", "_part").cogroup(gaps.groupBy("chrom", "_part")).applyInArrow(run, "chrom string, _span long, _draw long, _to long")
+    return keyed.join(placed, ["chrom", "_span", "_draw"], "left").drop("_span", "_draw")
+
+
+def relocate(df: DataFrame, sizes: DataFrame, key: str, seed: int, rounds: int = 1, masks: DataFrame | None = None) -> DataFrame:
     """``df`` with every interval moved to a place fixed by (seed, key, round); ``permutation`` counts rounds from 1.
 
-    The first of ``tries`` candidate places that lies on the chromosome and, if ``masks`` are
-    given, touches none is taken; without one the bounds are null.  The input is never changed.
+    A place lies on the chromosome and, if ``masks`` are given, touches none; every such
+    place is as likely as any other.  Only if there is none the bounds are null.  The input is never changed.
     """
     j = df.join(table_broadcast(sizes.select("chrom", F.col("length").alias("_len"))), "chrom").withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     span = F.col("end_pos") - F.col("start_pos")
-    place = lambda t: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("permutation"), t), F.greatest(F.col("_len") - span + 1, F.lit(1)))
-    fits = F.col("_len") >= span
+    draw = F.xxhash64(F.lit(seed), F.col(key), F.col("permutation"), F.lit(0))
     if masks is None:
-        to = F.when(fits, place(F.lit(0)))
-        return j.withColumn("_to", to).withColumn("end_pos", F.col("_to") + span).withColumn("start_pos", F.col("_to")).drop("_to", "_len")
-    cand = j.filter(fits).select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), place)).alias("_try", "_to"))
-    moved = cand.withColumn("_span", span).drop("start_pos", "end_pos").withColumn("start_pos", F.col("_to")).withColumn("end_pos", F.col("_to") + F.col("_span"))
-    free = overlap_join(moved, setops.merged(masks, touching=True), "left_anti")
-    first = free.groupBy(key, "permutation").agg(F.min_by("_to", "_try").alias("_to"))
-    out = j.join(first, [key, "permutation"], "left")
+        to = F.when(F.col("_len") >= span, F.pmod(draw, F.greatest(F.col("_len") - span + 1, F.lit(1))))
+        out = j.withColumn("_to", to)
+    else:
+        on = masks.join(table_broadcast(sizes.select("chrom", F.col("length").alias("_len"))), "chrom").filter((F.col("start_pos") < F.col("_len")) & (F.col("end_pos") > 0))
+        out = place_in_free(j, setops.complement(on, sizes), span, draw).select(*j.columns, "_to")
     return out.withColumn("end_pos", F.col("_to") + span).withColumn("start_pos", F.col("_to")).drop("_to", "_len")
 
 
