@@ -111,12 +111,13 @@ def _distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
-def kmeans(profiles: DataFrame, k: int, metric: str = "euclidean", seed: int = 0, rounds: int = 50) -> DataFrame:
+def kmeans(profiles: DataFrame, k: int, metric: str = "euclidean", seed: int = 0, rounds: int = 10_000) -> DataFrame:
     """(row, cluster): assignments repeated until none changes, from ``k`` rows drawn by ``seed``.
 
     ``profiles`` is (row, profile); rows with a null in the profile are left out.  Centres are
     ``k`` arrays on the driver, assignment is numpy over Arrow batches, and new centres are
-    one aggregation of its result.  Equal distances go to the lower cluster.
+    one aggregation of its result.  Equal distances go to the lower cluster.  Assignments that
+    come back after others, or don't settle in ``rounds``, are an error.
     """
     ok = stage(profiles.filter(F.forall("profile", lambda x: x.isNotNull())), "profiles")
     centres = np.array([r["profile"] for r in ok.orderBy(F.xxhash64(F.lit(seed), "row"), "row").limit(k).collect()], dtype=float)
@@ -131,18 +132,23 @@ def kmeans(profiles: DataFrame, k: int, metric: str = "euclidean", seed: int = 0
 
         return ok.withColumn("cluster", nearest("profile"))
 
-    before = None
+    before, seen = None, set()
     placed = assigned(centres)
     for _ in range(rounds):
         means = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "cluster")).alias("h"), *[F.avg(F.get("profile", F.lit(i))).alias(f"m{i}") for i in range(width)]).collect()
         now = sorted((r["cluster"], r["n"], r["h"]) for r in means)
         if now == before:
             break
+        if tuple(now) in seen:
+            raise RuntimeError("assignments go in circles")
+        seen.add(tuple(now))
         before = now
         centres = centres.copy()
         for r in means:
             centres[r["cluster"]] = [r[f"m{i}"] for i in range(width)]
         placed = assigned(centres)
+    else:
+        raise RuntimeError("assignments did not settle")
     return placed.select("row", "cluster")
 
 

@@ -143,6 +143,17 @@ def test_kmeans_separates_and_empty(spark):
     assert E.kmeans(df.limit(0), 2).count() == 0
 
 
+def test_kmeans_settles_after_many_rounds(spark):
+    x = np.random.default_rng(0).random(10_000)
+    df = spark.createDataFrame([(f"r{i}", [float(v)]) for i, v in enumerate(x)], "row string, profile array<double>")
+    c = {r["row"]: r["cluster"] for r in E.kmeans(df, 20, seed=1).collect()}
+    c = np.array([c[f"r{i}"] for i in range(len(x))])
+    centres = np.array([[x[c == k].mean()] for k in range(20)])
+    assert (E._distances(x[:, None], centres, "euclidean").argmin(1) == c).all()
+    with pytest.raises(RuntimeError):
+        E.kmeans(df, 20, seed=1, rounds=5)
+
+
 def test_silhouette_matches_pairs(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(20, 3))
