@@ -145,6 +145,13 @@ def wide_matrix(spark, d):
     return M.to_wide(mx(spark, d), ["smp_01", "smp_02", "smp_03"])
 
 
+@R.add("wide_matrix_all")
+def wide_matrix_all(spark, d):
+    """The whole matrix in wide form: a column for every ``col`` of the table."""
+    m = mx(spark, d)
+    return M.to_wide(m, [r["col"] for r in m.select("col").distinct().orderBy("col").collect()])
+
+
 # --- comparisons -------------------------------------------------------------------------
 
 GRP = f"{MX}, l AS (SELECT row, value, col, CASE WHEN CAST(right(col, 2) AS INTEGER) <= 20 THEN 'a' ELSE 'b' END AS g FROM m)"
