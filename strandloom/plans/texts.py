@@ -274,6 +274,13 @@ def fasta_records(spark, d):
     return t.select("rec_id", WR.fasta_record(20).alias("value"))
 
 
+@R.add("fasta_records_all", "SELECT rec_id, '>' || rec_id || chr(10) || rtrim(regexp_replace(seq, '(.{20})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM reads WHERE length(seq) > 0")
+def fasta_records_all(spark, d):
+    """Sequences of every length."""
+    t = table(spark, d, "reads").filter(F.length("seq") > 0).select("rec_id", F.col("rec_id").cast("string").alias("id"), F.lit("").alias("description"), F.col("seq").alias("bases"))
+    return t.select("rec_id", WR.fasta_record(20).alias("value"))
+
+
 @R.add("region_parse", f"WITH {IV} SELECT interval_id, chrom, start_pos, end_pos FROM iv")
 def region_parse(spark, d):
     """UCSC region strings made and parsed again."""

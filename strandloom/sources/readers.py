@@ -185,7 +185,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 def parse_sam(text: DataFrame, value: str = "value") -> DataFrame:
     """SAM alignment lines as reads with tags, blocks, strand and weight 1 / NH."""
     t = text.filter(~F.col(value).startswith("@")).select(F.split(value, "\t", -1).alias("f")).filter(F.size("f") >= 11)
-    tags = F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, 6, 100_000).alias("v")))
+    tags = F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, F.lit(6), F.length(x)).alias("v")))
     keys = F.array_distinct(F.transform(tags, lambda x: x["k"]))
     tag_map = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(tags, lambda x: x["k"] == k), F.lit(0))["v"]))
     star = lambda c: F.when(c != "*", c)
