@@ -2,8 +2,8 @@
 
 ``stage`` writes a DataFrame once to the shared folder named by
 ``spark.checkpoint.dir`` and reads it back, so later jobs neither recompute it
-nor depend on blocks held by one executor.  Staged folders are removed when the
-driver's JVM ends.
+nor depend on blocks held by one executor.  ``discard`` removes a staged folder as soon
+as nothing reads it any more; the others go when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -58,11 +58,23 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder behind a frame made by ``stage``; no plan may read it afterwards.  Other frames are left alone."""
+    path = getattr(df, "_staged_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 BROADCAST_ROWS = 100_000
 SMALL_BYTES = 1 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -71,19 +83,21 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``limit`` rows, else plain.
+    """``df`` with a broadcast hint if it holds at most ``limit`` rows in at most ``BROADCAST_BYTES``, else plain.
 
-    The size is measured, not assumed: the frame is staged first, so its files can be
-    weighed (up to 1 MB is small without counting), and beyond the limit the join is an
+    The size is measured, not assumed: the frame is staged first, if it isn't yet, so its files can
+    be weighed (up to 1 MB is small without counting), and beyond either bound the join is an
     ordinary shuffle join.
     """
-    s = stage(df, "side")
-    return F.broadcast(s) if stored_bytes(s) <= SMALL_BYTES or s.count() <= limit else s
+    s = df if hasattr(df, "_staged_path") else stage(df, "side")
+    size = stored_bytes(s)
+    return F.broadcast(s) if size <= SMALL_BYTES or (size <= BROADCAST_BYTES and s.count() <= limit) else s
 
 
 def table_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """As ``bounded_broadcast`` for a frame that is cheap to count (a small stored table)."""
-    return F.broadcast(df) if stored_bytes(df) <= SMALL_BYTES or df.limit(limit + 1).count() <= limit else df
+    size = stored_bytes(df)
+    return F.broadcast(df) if size <= SMALL_BYTES or (size <= BROADCAST_BYTES and df.limit(limit + 1).count() <= limit) else df
 
 
 def parallelism(spark: SparkSession) -> int:
