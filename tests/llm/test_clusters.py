@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import clusters as K
 from strandloom.operators.graph import components
@@ -53,33 +54,82 @@ def made(seed=2):
     return v, [f"r{i:03d}" for i in range(len(v))]
 
 
-@pytest.mark.parametrize("bucket_rows", [2048, 16])
-def test_clusters_match_brute_force(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows,hot_rows", [(2048, 1 << 17), (16, 1 << 17), (16, 20)])
+def test_clusters_match_brute_force(spark, bucket_rows, hot_rows):
     v, names = made()
-    m = K.cluster_rows(table(spark, v, names), "row", "col", "value", bucket_rows=bucket_rows)
-    got = {tuple(r) for r in K.cluster_pairs(m).collect()}
+    m = K.cluster_rows(table(spark, v, names), "row", "col", "value", bucket_rows=bucket_rows, hot_rows=hot_rows)
+    got = {tuple(r) for r in K.cluster_pairs(m, chunk=7).collect()}
     assert got == brute(np.log2(1 + v), names)
 
 
-def test_recall_of_links(spark):
-    """Links found by the tables alone, over all alike pairs at the limit: at least 0.999."""
-    rng = np.random.default_rng(3)
-    n, d = 3000, 40
+def linked(spark, x):
+    """Share of the pairs (0, 1), (2, 3), ... of rows that the links of ``similar_links`` join."""
+    rows = [(i, [None if np.isnan(c) else float(c) for c in r]) for i, r in enumerate(x)]
+    links = K.similar_links(spark.createDataFrame(rows, "id long, vec array<double>").repartition(4))
+    pivot = {r["id"]: r["pivot"] for r in components(links).collect()}
+    return np.mean([pivot.get(i, i) == pivot.get(i + 1, i + 1) for i in range(0, len(x), 2)])
+
+
+def limit_pairs(n, d, r, seed=3):
+    """2 n rows, pairs that correlate at exactly ``r``."""
+    rng = np.random.default_rng(seed)
     a = rng.normal(size=(n, d))
     a -= a.mean(1, keepdims=True)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
     e = rng.normal(size=(n, d))
     e -= e.mean(1, keepdims=True)
-    e -= (e * a).sum(1, keepdims=True) / (a * a).sum(1, keepdims=True) * a
-    b = 0.905 * a / np.linalg.norm(a, axis=1, keepdims=True) + np.sqrt(1 - 0.905**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
-    rng2 = np.random.default_rng(7)
-    turns = rng2.standard_normal((K.TABLES, 2, d, d)).astype(np.float32)
-    ua, _ = K._units(a)
-    ub, _ = K._units(b)
-    hit = np.zeros(n, bool)
-    for t in range(K.TABLES):
-        h = [K._cross_polytope(u.astype(np.float32), turns[t, 0]) * 2 * d + K._cross_polytope(u.astype(np.float32), turns[t, 1]) for u in (ua, ub)]
-        hit |= h[0] == h[1]
-    assert hit.mean() >= 0.999
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    return np.stack([a, r * a + np.sqrt(1 - r * r) * e], 1).reshape(2 * n, d)
+
+
+@pytest.mark.parametrize("d,r", [(40, 0.9001), (12, 0.9001), (300, 0.905)])
+def test_recall_of_links(spark, d, r):
+    """Through the operator: at least 0.999 of the pairs at the limit; wide rows are hashed in fewer columns."""
+    assert linked(spark, limit_pairs(1500, d, r)) >= 0.999
+
+
+@pytest.mark.parametrize("share", [0.025, 0.05, 0.1, 0.3])
+def test_recall_with_lost_cells(spark, share):
+    assert linked(spark, lossy_pairs(1500, share, 11)) >= 0.999
+
+
+def test_sketches_bound_the_correlation():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 30)) * rng.choice([1, 8], (400, 1))
+    y = x + rng.normal(size=x.shape) * rng.uniform(0.1, 1.2, (400, 1))
+    y[::7, 3] = 90.0
+    for z in (x, y):
+        z[rng.random(z.shape) < 0.1] = np.nan
+    x[5], y[6] = 2.0, np.nan
+    ok, _ = K.alike_rows(x, y, 0.9)
+    qx, qy = K.sketch(x), K.sketch(y)
+    sure, maybe = K.judge_rows(qx, qy, 0.9)
+    assert (ok[sure]).all() and (sure | maybe)[ok].all() and 100 < sure.sum() and maybe.sum() < 60
+    all_sure, all_maybe = K.judge_all(qx, qy, 0.9)
+    assert (all_sure.diagonal() == sure).all() and (all_maybe.diagonal() == maybe).all()
+
+
+def test_pivots_are_local_minima(spark):
+    rng = np.random.default_rng(5)
+    edges = {tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(150)}
+    r = {e: float(rng.uniform(0.9, 1)) for e in edges}
+    df = spark.createDataFrame([(a, b, r[a, b]) for a, b in edges], "a long, b long, r double")
+    got = {x["id"]: x["pivot"] for x in K.pivot_rounds(df).collect()}
+    rank = {x["id"]: (x["h"], x["id"]) for x in spark.range(60).select("id", F.xxhash64("id").alias("h")).collect()}
+    near = defaultdict(dict)
+    for (a, b), v in r.items():
+        near[a][b] = near[b][a] = v
+    left, pivots = set(near), set()
+    for x in sorted(near, key=rank.get):  # one by one in the order of hashes
+        if x in left:
+            pivots.add(x)
+            left -= {x, *near[x]}
+    assert set(got) == set(near)
+    for x, p in got.items():
+        mine = {k: v for k, v in near[x].items() if k in pivots}
+        assert p == (x if x in pivots else max(mine, key=mine.get))
+    assert K.pivot_rounds(df.limit(0)).count() == 0
 
 
 def lossy_pairs(n, share, seed, d=40):
