@@ -1,26 +1,26 @@
 """One consistent form for texts that look the same but differ in their characters.
 
 ``canonical`` works in two steps.  Per text: full- and half-width forms become plain
-ones, characters without width or ink are dropped, horizontal blanks become spaces,
-and accents are composed (NFC).  Over the corpus: the dominant script of every token
-is found, and in tokens that mix Latin, Greek and Cyrillic the letters of the other
-scripts are replaced by their look-alikes of the dominant one when the result is a
-word of the corpus.
-
-``look_key`` goes further, for comparison only: every letter is replaced by one
-representative of all letters drawn like it, so a word wholly in look-alike letters
-gets the key of the word it imitates.  The repair of ``canonical`` never changes it.
+ones, characters without width or ink are dropped, horizontal blanks become spaces, the
+micro sign becomes the Greek letter, and accents are composed (NFC).  Over the corpus: the
+dominant script of every token is found, and in tokens that mix Latin, Greek and Cyrillic
+the letters of the other scripts are replaced by their look-alikes of the dominant one
+when the result is a word of the corpus; if it isn't, the token's other scripts are tried.
+
+``compared`` is for comparison only.  To the canonical form it adds what a repair cannot
+settle: words wholly in look-alike letters of one script, words with a letter that has a
+twin in its own script, and mixed words without any corpus form.  Where the corpus
+spells such a look in several ways, all of them get one representative.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,6 +120,7 @@ def _plain_table() -> dict[int, int | str | None]:
                 t[c] = chr(int(d.split()[1], 16))
     for a, b in IGNORABLE:
         t.update(dict.fromkeys(range(a, b + 1)))
+    t[ord("µ")] = "μ"
     return t
 
 
@@ -171,8 +172,9 @@ def look(text: str) -> str:
     return unicodedata.normalize("NFD", d)
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-_NON_ASCII_WORD = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7f][^\W\d_]*")
+# One definition of a word for Python and the JVM: a letter, then letters and accents.
+WORD = r"\p{L}[\p{L}\p{M}]*+"
+_WORD = regex.compile(WORD)
 
 
 def scripts_in(token: str) -> dict[str, int]:
@@ -183,25 +185,50 @@ def scripts_in(token: str) -> dict[str, int]:
     return n
 
 
-def repair(token: str) -> str | None:
-    """A mixed-script token in its dominant script, or None where it isn't mixed or letters remain of another.
-
-    The dominant script has the most letters; of equals the first of Latin, Greek, Cyrillic.
-    """
+def by_dominance(token: str) -> list[str]:
+    """The token's scripts, most letters first; of equals in the order Latin, Greek, Cyrillic."""
     n = scripts_in(token)
-    if len(n) < 2:
-        return None
-    main = max(SCRIPTS, key=lambda s: (n.get(s, 0), -SCRIPTS.index(s)))
-    table = _to_script()[main]
+    return sorted(n, key=lambda s: (-n[s], SCRIPTS.index(s)))
+
+
+def in_script(token: str, script: str) -> str | None:
+    """The token with look-alikes of ``script`` for letters of others, or None where one has none."""
+    table = _to_script()[script]
     # Accented letters are judged by their base letter.
     out = unicodedata.normalize("NFC", "".join(table.get(ch, ch) for ch in unicodedata.normalize("NFD", token)))
     return out if len(scripts_in(out)) == 1 else None
 
 
-def mixed_tokens(text: str) -> list[str]:
+def repair(token: str) -> str | None:
+    """A mixed-script token in its dominant script, or None where it isn't mixed or letters remain of another."""
+    order = by_dominance(token)
+    return in_script(token, order[0]) if len(order) > 1 else None
+
+
+@lru_cache(maxsize=1)
+def _look_groups() -> tuple[frozenset[str], frozenset[str]]:
+    """Letters with a look-alike, and those with one in their own script."""
+    groups = [g.split() for g in LOOK_ALIKES.strip().split("\n")]
+    return frozenset(x for g in groups for x in g), frozenset(x for g in groups for x in g if sum(script_of(y) == script_of(x) for y in g) > 1)
+
+
+def folds(token: str) -> bool:
+    """Whether a token of one script may look like another that ``repair`` never leads to."""
+    some, twins = _look_groups()
+    letters = [c for c in unicodedata.normalize("NFD", token) if c.isalpha()]
+    return (all(c in some for c in letters) or any(c in twins for c in letters)) and look(token) != unicodedata.normalize("NFD", token)
+
+
+_sorted_token = lru_cache(maxsize=65536)(lambda w: 2 if len(scripts_in(w)) > 1 else int(folds(w)))
+
+
+def odd_tokens(text: str) -> tuple[list[str], list[str]]:
+    """Distinct mixed-script tokens of a text, and those of one script for which ``folds`` holds."""
     if text.isascii():
-        return []
-    return [w for w in dict.fromkeys(_NON_ASCII_WORD.findall(text)) if len(scripts_in(w)) > 1]
+        return [], []
+    words = [w for w in dict.fromkeys(_WORD.findall(text)) if not w.isascii()]
+    kind = [_sorted_token(w) for w in words]
+    return [w for w, k in zip(words, kind) if k == 2], [w for w, k in zip(words, kind) if k == 1]
 
 
 def _plain_batches(text: str):
@@ -209,40 +236,56 @@ def _plain_batches(text: str):
         for b in batches:
             i = b.schema.get_field_index(text)
             texts = [None if t is None else plain(t) for t in b.column(i).to_pylist()]
-            mixed = [None if t is None else mixed_tokens(t) for t in texts]
+            odd = [([], []) if t is None else odd_tokens(t) for t in texts]
             cols = [pa.array(texts, pa.string()) if j == i else b.column(j) for j in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(mixed, pa.list_(pa.string()))], names=[*b.schema.names, "__mixed"])
+            lists = [pa.array([o[k] for o in odd], pa.list_(pa.string())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, *lists], names=[*b.schema.names, "__mixed", "__odd"])
 
     return run
 
 
-def canonical(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``text`` in its consistent form; nulls stay null and empty texts empty.
-
-    The vocabulary is the set of single-script words of all rows of ``df``; a mixed-script
-    word whose repaired form isn't one of them is left as it is.  Rows, their order
-    of columns and other columns are kept.
-    """
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField("__mixed", T.ArrayType(T.StringType()), True)])
-    base = stage(df.mapInArrow(_plain_batches(text), schema), "plain")
+def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, mixed) to its forms: rank 0, 1, ... in its scripts by dominance for a mixed word, and its look as rank -1."""
+    for b in batches:
+        out = []
+        for w, mixed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out.append((w, mixed, -1, unicodedata.normalize("NFC", look(w))))
+            if mixed:
+                out += [(w, mixed, k, f) for k, s in enumerate(by_dominance(w)) if (f := in_script(w, s)) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.bool_(), pa.int32(), pa.string()))], names=["word", "mixed", "rank", "form"])
 
-    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = b.column(0).to_pylist()
-            good = [(a, r) for a in w if (r := repair(a)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], pa.string()), pa.array([r for _, r in good], pa.string())], names=["word", "fixed"])
 
-    mixed = base.select(F.explode("__mixed").alias("word")).distinct()
-    wanted = bounded_broadcast(mixed.mapInArrow(fix, "word string, fixed string"))
+def _formed(df: DataFrame, text: str, compare: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField(c, T.ArrayType(T.StringType()), True) for c in ("__mixed", "__odd")])
+    base = stage(df.mapInArrow(_plain_batches(text), schema), "plain")
+    words = base.select(F.explode("__mixed").alias("word"), F.lit(True).alias("mixed"))
+    if compare:
+        words = words.unionByName(base.select(F.explode("__odd").alias("word"), F.lit(False).alias("mixed")))
+    forms = stage(words.distinct().mapInArrow(_versions, "word string, mixed boolean, rank int, form string"), "forms")
     # Words of the corpus, joined to the wanted ones before anything is shuffled.
-    words = base.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}\p{L}*+)"), 1))).alias("fixed"))
-    known = words.join(wanted, "fixed", "left_semi").distinct()
-    repairs = bounded_broadcast(wanted.join(known, "fixed"))
-    # Only rows with mixed words are touched.
-    touched = base.filter(F.size("__mixed") > 0).withColumn("__row", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
-    clean = base.filter(F.coalesce(F.size("__mixed"), F.lit(0)) <= 0).drop("__mixed")
-    touched = stage(touched, "mixed")
-    maps = touched.select("__row", F.explode("__mixed").alias("word")).join(repairs, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "fixed")).alias("__fix"))
+    wanted = bounded_broadcast(forms.select("form").distinct())
+    said = base.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1))).alias("form"))
+    known = stage(said.join(wanted, "form", "left_semi").distinct(), "known")
+    settled = forms.join(bounded_broadcast(known), "form", "left_semi").filter("mixed AND rank >= 0")
+    repairs = settled.groupBy("word").agg(F.min_by("form", "rank").alias("fixed"))
+    if compare:
+        repairs = stage(repairs, "repairs")
+        # Spellings of one look that no repair settles; a look that the corpus spells itself counts as one.
+        looks = forms.filter("rank = -1").select("word", F.col("form").alias("look"))
+        left = looks.join(bounded_broadcast(settled.select("word").distinct()), "word", "left_anti")
+        self_said = looks.select("look").distinct().join(known.withColumnRenamed("form", "look"), "look", "left_semi").select(F.col("look").alias("word"), "look")
+        spelt = stage(left.unionByName(self_said).distinct(), "spelt")
+        several = spelt.groupBy("look").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("look")
+        folded = stage(spelt.join(several, "look").filter(F.col("word") != F.col("look")), "folded")
+        after = repairs.join(folded.select(F.col("word").alias("fixed"), "look"), "fixed", "left").select("word", F.coalesce("look", "fixed").alias("fixed"))
+        repairs = after.unionByName(folded.select("word", F.col("look").alias("fixed")))
+    repairs = bounded_broadcast(repairs)
+    listed = F.concat("__mixed", "__odd") if compare else F.col("__mixed")
+    n = F.coalesce(F.size(listed), F.lit(0))
+    # Only rows with such words are touched.
+    touched = stage(base.filter(n > 0).withColumn("__row", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())), "mixed")
+    clean = base.filter(n <= 0).select(*df.columns)
+    maps = touched.select("__row", F.explode(listed).alias("word")).join(repairs, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "fixed")).alias("__fix"))
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +295,7 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
             texts = []
             for t, f in zip(b.column(i).to_pylist(), fixes):
                 m = {x["word"]: x["fixed"] for x in f or ()}
-                texts.append(_NON_ASCII_WORD.sub(lambda w: m.get(w[0], w[0]), t) if m else t)  # noqa: B023
+                texts.append(unicodedata.normalize("NFC", _WORD.sub(lambda w: m.get(w[0], w[0]), t)) if m else t)  # noqa: B023
             cols = [pa.array(texts, pa.string()) if j == i else b.column(j) for j in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
@@ -260,19 +303,19 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
     return clean.unionByName(fixed)
 
 
-def look_keys(df: DataFrame, text: str = "text", out: str = "look") -> DataFrame:
-    """``df`` with ``text`` replaced by ``out``, a 128-bit key of what the text looks like (null for null)."""
-    rest = [c for c in df.columns if c not in (text, out)]
-    src = df.select(*rest, text)
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in src.schema if f.name != text], T.StructField(out, T.BinaryType(), True)])
+def canonical(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``text`` in its consistent form; nulls stay null and empty texts empty.
+
+    The vocabulary is the set of words of all rows of ``df``; a mixed-script word none of
+    whose forms in one of its scripts is one of them is left as it is.  Rows, their order
+    of columns and other columns are kept.
+    """
+    return _formed(df, text, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_columns - 1
-            keys = [None if t is None else hashlib.blake2b(look(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in b.column(n).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(keys, pa.binary())], names=[*rest, out])
 
-    return src.mapInArrow(run, schema)
+def compared(df: DataFrame, text: str = "text") -> DataFrame:
+    """``canonical``, with what it cannot settle brought to one representative: texts that look alike become equal."""
+    return _formed(df, text, True)
 
 
 def same_look_pairs(keys: DataFrame, item: str, look_col: str = "look", stored: str = "stored") -> DataFrame:

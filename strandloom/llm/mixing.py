@@ -1,9 +1,9 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-Budgets are set on the tree domain / language / source, which is as small as the
-list of targets: weights are propagated from the root, a leaf can take at most
-``max_passes`` times its size, and what it cannot take goes to its siblings with room
-first, then to the siblings of its parent, and so on up.
+Budgets are set on the tree domain / language / source, whose leaves are the parts of each
+source in one language of one domain: a source's target is parted among its leaves by
+their sizes, a leaf can take at most ``max_passes`` times its size, and what it cannot take
+goes to its siblings with room first, then to the siblings of its parent, and so on up.
 
 Selection takes every whole pass a leaf's budget allows, and of the last pass the
 prefix, in a seeded order of its own for each pass, that fits the rest.  The prefix is
@@ -25,10 +25,14 @@ BUCKETS = 1024
 
 @dataclass
 class Leaf:
+    """A part of a source; ``wanted``, ``short`` and ``budget`` are set by ``budgets``."""
+
     path: tuple[str, ...]
     share: float
     size: int
     max_passes: int
+    wanted: float = 0.0
+    short: float = 0.0
     budget: float = 0.0
 
     @property
@@ -38,26 +42,30 @@ class Leaf:
 
 def _fill(leaves: list[Leaf], amount: float) -> float:
     """Give ``amount`` to leaves with room in proportion to their shares; return what found no room."""
-    while amount > 1e-9:
-        room = [x for x in leaves if x.cap - x.budget > 1e-9 and x.share > 0]
-        if not room:
-            return amount
+    room = [x for x in leaves if x.cap > x.budget and x.share > 0]
+    while amount > 0 and room:
         total = sum(x.share for x in room)
-        step = min(1.0, min((x.cap - x.budget) / (amount * x.share / total) for x in room))
-        for x in room:
-            x.budget = min(x.cap, x.budget + step * amount * x.share / total)
-        amount *= 1 - step
-    return 0.0
+        fill = [(x.cap - x.budget) / (amount * x.share / total) for x in room]
+        step = min(1.0, min(fill))
+        for x, f in zip(room, fill):
+            x.budget = x.cap if f <= step else min(x.cap, x.budget + step * amount * x.share / total)
+        room = [x for x, f in zip(room, fill) if f > step]
+        amount = amount * (1 - step) if step < 1 else 0.0
+    return amount
 
 
 def budgets(leaves: list[Leaf], total: float) -> float:
-    """Set every leaf's budget; returns the part of ``total`` that no leaf can take."""
-    weight = sum(x.share for x in leaves)
+    """Set every leaf's budget; returns the part of ``total`` that no leaf can take.
+
+    ``wanted`` is the weight propagated to a leaf, its share of ``total``; ``short`` is what it cannot
+    take of it (below 0: the room it has left for others).
+    """
     owed: dict[tuple[str, ...], float] = {}
     for x in leaves:
-        want = total * x.share / weight if weight else 0.0
-        x.budget = min(want, x.cap)
-        owed[x.path[:-1]] = owed.get(x.path[:-1], 0.0) + want - x.budget
+        x.wanted = total * x.share
+        x.short = x.wanted - x.cap
+        x.budget = min(x.wanted, x.cap)
+        owed[x.path[:-1]] = owed.get(x.path[:-1], 0.0) + max(0.0, x.short)
     depth = max((len(x.path) for x in leaves), default=0)
     for level in range(depth - 1, -1, -1):
         up: dict[tuple[str, ...], float] = {}
@@ -72,6 +80,14 @@ def budgets(leaves: list[Leaf], total: float) -> float:
     return 0.0
 
 
+def source_shortage(leaves: list[Leaf]) -> dict[str, float]:
+    """What each source (last step of a path) is short of its target, added up over its leaves, from the ``budgets`` set."""
+    out: dict[str, float] = {}
+    for x in leaves:
+        out[x.path[-1]] = out.get(x.path[-1], 0.0) + x.short
+    return out
+
+
 def select(items: DataFrame, leaf_budgets: DataFrame, item: str, seed: int = 0) -> DataFrame:
     """(leaf, item, pass, size): the records of the mixture.
 

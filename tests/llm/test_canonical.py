@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -41,19 +42,38 @@ def test_canonical_keeps_the_look():
         assert unicodedata.is_normalized("NFC", C.plain(t))
 
 
+def keys(df):
+    return C.compared(df).select("doc_id", "stored", F.md5("text").alias("look"))
+
+
+def all_pairs(rows):
+    return sorted((i, j) for i, a in rows for j, b in rows if i < j and a is not None and b is not None and a != b and C.look(a) == C.look(b))
+
+
 def test_pairs_match_brute_force(spark):
-    texts = ["cop x", "сор x", "cop x", "COP x", "cop x", None, "", "", "​", "other", "ｏther", "ｏther"]
-    rows = [(i, t) for i, t in enumerate(texts)]
+    texts = ["cop x", "сор x", "cop x", "COP x", "cop x", None, "", "", "\u200b", "other", "ｏther", "ｏther", "работа", "paбoтa", "рaботa", "знак жжa", "знак жжа", "Đоm", "Ðom", "Ɖom"]
+    texts += ["e\u0301tude", "étude", "р\u0301q", "p\u0301q", "10 µm", "10 μm", "10 μм", "λό", "λo\u0301"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stored", F.md5("text"))
+    assert sorted(map(tuple, C.same_look_pairs(keys(df), "doc_id").collect())) == all_pairs(rows)
+
+
+def test_pairs_of_made_spellings_match_brute_force(spark):
+    """Words in random spellings of each letter's look group, with and without a plain spelling in the corpus."""
+    rnd = random.Random(4)
+    groups = {g.split()[0]: g.split() for g in C.LOOK_ALIKES.strip().split("\n")}
+    words = ["".join(rnd.choice([*groups, "b", "б", "λ", "ж", "k"]) for _ in range(rnd.randrange(1, 5))) for _ in range(40)]
+    texts = [" ".join("".join(rnd.choice(groups.get(c, [c])) for c in w) for w in rnd.choices(words, k=rnd.randrange(1, 3))) for _ in range(400)]
+    rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stored", F.md5("text"))
-    got = sorted(map(tuple, C.same_look_pairs(C.look_keys(C.canonical(df)), "doc_id").collect()))
-    want = sorted((i, j) for i, a in rows for j, b in rows if i < j and a is not None and b is not None and a != b and C.look(a) == C.look(b))
-    assert got == want and want
+    want = all_pairs(rows)
+    assert sorted(map(tuple, C.same_look_pairs(keys(df), "doc_id").collect())) == want and len(want) > 100
 
 
 def test_copies_meet_only_their_partners(spark):
-    rows = [(i, "same text") for i in range(300)] + [(1000, "same text")]
+    rows = [(i, "same text") for i in range(300)] + [(1000, "same\u00a0text")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stored", F.md5("text"))
-    assert C.same_look_pairs(C.look_keys(df), "doc_id").count() == 300
+    assert C.same_look_pairs(keys(df), "doc_id").count() == 300
 
 
 def test_very_long_text():

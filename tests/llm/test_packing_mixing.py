@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import mixing as M
 from strandloom.llm import packing as P
+from strandloom.llm import queries as Q
 from strandloom.llm.tokens import encoding, token_counts
 
 
@@ -78,6 +79,34 @@ def test_budgets_fill_siblings_before_ancestors():
     assert M.budgets([], 10) == 0
 
 
+def test_shortages_are_recorded():
+    x = [leaf("qa/en/a", 0.3, 100, 2), leaf("qa/fr/a", 0.1, 50, 2), leaf("web/en/b", 0.6, 2000, 1)]
+    M.budgets(x, 1000)
+    assert [l.wanted for l in x] == [300, 100, 600] and [l.short for l in x] == [100, 0, -1400]
+    assert M.source_shortage(x) == {"a": 100, "b": -1400}
+    assert [round(l.budget) for l in x] == [200, 100, 700]
+    big = [leaf(f"d/l/{i}", 0.1, 10**15 + i, 1) for i in range(10)]
+    assert M.budgets(big, 1.2e16) == pytest.approx(1.2e16 - sum(l.size for l in big)) and all(l.budget == l.cap for l in big)
+
+
+@pytest.fixture(scope="module")
+def mixed_tables(spark, tmp_path_factory):
+    """Documents of one-token texts: exact sizes without a tokenizer."""
+    d = str(tmp_path_factory.mktemp("mix"))
+    docs = [(i, "hello", k, g, s) for i, (k, g, s) in enumerate([("question", "en", "A")] * 30 + [("answer", "fr", " a ")] * 10 + [("answer", None, "b")] * 50 + [("question", "en", "c")] * 10 + [("question", "en", None)] * 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, kind string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    # a: 40 tokens once reach 0.4 exactly; b is short, c is short by one token, d has no document.
+    spark.createDataFrame([("a", 0.4, 1), ("B", 0.3, 2), ("c", 0.21, 2), ("d", 0.09, 9)], "source string, target_share double, max_passes int").write.parquet(f"{d}/mix_targets.parquet")
+    return d
+
+
+def test_short_sources(spark, mixed_tables):
+    assert sorted(r["source"] for r in Q.p7_found(spark, mixed_tables).collect()) == ["c", "d"]
+    shares = {r["source"]: r for r in Q.p7_shares(spark, mixed_tables).collect()}
+    assert shares["a"]["tokens"] == 40 and shares["c"]["tokens"] == 20 and shares["c"]["passes"] == 2 and shares["d"]["tokens"] == 0
+    assert shares["B"]["tokens"] == 40 and shares["B"]["reached_share"] == 0.4
+
+
 def test_selection_prefixes(spark):
     rnd = random.Random(3)
     rows = [("a", i, rnd.randrange(1, 20), "x") for i in range(500)] + [("b", 1000 + i, 7, "x") for i in range(30)] + [(None, 9999, 5, "x"), ("a", 8888, None, "x")]
