@@ -215,7 +215,8 @@ def _look_groups() -> tuple[frozenset[str], frozenset[str]]:
 def folds(token: str) -> bool:
     """Whether a token of one script may look like another that ``repair`` never leads to."""
     some, twins = _look_groups()
-    letters = [c for c in unicodedata.normalize("NFD", token) if c.isalpha()]
+    # Letters of further scripts are their own look only.
+    letters = [c for c in unicodedata.normalize("NFD", token) if _script(c)]
     return (all(c in some for c in letters) or any(c in twins for c in letters)) and look(token) != unicodedata.normalize("NFD", token)
 
 

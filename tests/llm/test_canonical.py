@@ -52,7 +52,7 @@ def all_pairs(rows):
 
 def test_pairs_match_brute_force(spark):
     texts = ["cop x", "сор x", "cop x", "COP x", "cop x", None, "", "", "\u200b", "other", "ｏther", "ｏther", "работа", "paбoтa", "рaботa", "знак жжa", "знак жжа", "Đоm", "Ðom", "Ɖom"]
-    texts += ["e\u0301tude", "étude", "р\u0301q", "p\u0301q", "10 µm", "10 μm", "10 μм", "λό", "λo\u0301"]
+    texts += ["e\u0301tude", "étude", "р\u0301q", "p\u0301q", "10 µm", "10 μm", "10 μм", "λό", "λo\u0301", "ファイルу8", "ファイルy8"]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stored", F.md5("text"))
     assert sorted(map(tuple, C.same_look_pairs(keys(df), "doc_id").collect())) == all_pairs(rows)
@@ -62,7 +62,7 @@ def test_pairs_of_made_spellings_match_brute_force(spark):
     """Words in random spellings of each letter's look group, with and without a plain spelling in the corpus."""
     rnd = random.Random(4)
     groups = {g.split()[0]: g.split() for g in C.LOOK_ALIKES.strip().split("\n")}
-    words = ["".join(rnd.choice([*groups, "b", "б", "λ", "ж", "k"]) for _ in range(rnd.randrange(1, 5))) for _ in range(40)]
+    words = ["".join(rnd.choice([*groups, "b", "б", "λ", "ж", "k", "字", "ル"]) for _ in range(rnd.randrange(1, 5))) for _ in range(40)]
     texts = [" ".join("".join(rnd.choice(groups.get(c, [c])) for c in w) for w in rnd.choices(words, k=rnd.randrange(1, 3))) for _ in range(400)]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stored", F.md5("text"))
