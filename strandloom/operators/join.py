@@ -81,6 +81,9 @@ def overlap_join(
     one, ``'right'`` the converse.  ``slack`` widens the right side by so many bases on both
     ends for the test.  ``residual`` is a further condition on the columns of the result.
 
+    A plain ``left_semi`` or ``left_anti`` makes no pairs: the right side is merged into islands, and
+    the last island that starts before a row's end decides.
+
     All right columns come out with ``suffix``.  Rows with a null chromosome, a null bound or
     no length match nothing (kept by ``left`` and ``left_anti``); repeated rows keep their
     multiplicity; null strands match nothing when ``strand`` is asked.
@@ -88,6 +91,8 @@ def overlap_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     ln = left_names
+    if how in ("left_semi", "left_anti") and contained is None and residual is None:
+        return _touching(left, right, how == "left_semi", ln, right_names, strand, slack)
     r = right.toDF(*[c + suffix for c in right.columns])
     rn = Names(*[x + suffix for x in (right_names.chrom, right_names.start, right_names.end, right_names.strand)])
     keyed = left if how == "inner" else left.withColumn("_row", F.monotonically_increasing_id())
@@ -121,6 +126,27 @@ def overlap_join(
     return keyed.join(hits, "_row", how).select(*left.columns)
 
 
+def _touching(left: DataFrame, right: DataFrame, wanted: bool, ln: Names, rn: Names, strand: bool, slack: int) -> DataFrame:
+    """Rows of ``left`` that overlap (``wanted``) or don't overlap any row of ``right``."""
+    from strandloom.operators import setops
+
+    key = lambda n: F.struct(*[F.col(c).alias(a) for c, a in ((n.chrom, "c"), *(((n.strand, "s"),) if strand else ()))])
+    by = ["_c", *(["_s"] if strand else [])]
+    cols = [F.col(rn.chrom).alias("_c"), *([F.col(rn.strand).alias("_s")] if strand else [])]
+    r = _valid(right, rn).select(*cols, (F.col(rn.start) - slack).cast("long").alias("start_pos"), (F.col(rn.end) + slack).cast("long").alias("end_pos"))
+    islands = setops.merged(r, by)
+    row = F.struct(*[F.col(c) for c in left.columns])
+    good = F.col(ln.chrom).isNotNull() & (F.col(ln.end) > F.col(ln.start)) & (F.col(ln.strand).isNotNull() if strand else F.lit(True))
+    asked = left.filter(good).select(key(ln).alias("_chrom"), F.col(ln.end).cast("long").alias("_pos"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_v"), F.col(ln.start).cast("long").alias("_from"), row.alias("_left"))
+    marks = islands.select(key(Names("_c", strand="_s")).alias("_chrom"), F.col("start_pos").alias("_pos"), F.lit(1).alias("_side"), F.col("end_pos").alias("_v"), F.lit(None).cast("long").alias("_from"), F.lit(None).cast(asked.schema["_left"].dataType).alias("_left"))
+    # An island that starts at a row's end doesn't touch it: rows come before islands at one place.
+    near = _carried(asked.unionByName(marks), ["_pos", "_side"], {"_near": ("_v", False)}).filter("_side = 0")
+    hit = F.coalesce(F.col("_near") > F.col("_from"), F.lit(False))
+    if wanted:
+        return near.filter(hit).select("_left.*")
+    return near.filter(~hit).select("_left.*").unionByName(left.filter(~F.coalesce(good, F.lit(False))))
+
+
 def count_overlaps(left: DataFrame, right: DataFrame, keys: list[str], aggs: list[Column], **kw) -> DataFrame:
     """Aggregates over the overlapping right rows (columns suffixed ``_r``) per left row identified by ``keys``.
 
@@ -131,22 +157,21 @@ def count_overlaps(left: DataFrame, right: DataFrame, keys: list[str], aggs: lis
     return left.join(hits, keys, "left")
 
 
-def _carried(df: DataFrame, order: list[str], value: str, backward: bool) -> DataFrame:
-    """``_near``: the last (or next) non-null ``value`` up to each row of its chromosome, rows ordered by ``order``.
+def _carried(df: DataFrame, order: list[str], what: dict[str, tuple[str, bool]]) -> DataFrame:
+    """For each name of ``what`` (value, backward): the last (or next) non-null value up to each row of its chromosome, rows ordered by ``order``.
 
-    Computed in two levels over range partitions, so a chromosome may be of any size:
-    inside (partition, chromosome), and over the last values of partitions.
+    Computed in two levels over one range partitioning, so a chromosome may be of any size:
+    inside (partition, chromosome), and over the last or first values of partitions.
     """
     staged = stage(df.repartitionByRange("_chrom", *order).withColumn("_pid", F.spark_partition_id()), "asof")
-    keys = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
-    inner = Window.partitionBy("_pid", "_chrom").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = staged.withColumn("_local", F.last(value, ignorenulls=True).over(inner))
-    pick = F.min_by if backward else F.max_by
-    ends = staged.filter(F.col(value).isNotNull()).groupBy("_chrom", "_pid").agg(pick(value, F.struct(*order)).alias("_end"))
-    pids = staged.select("_chrom", "_pid").distinct().join(ends, ["_chrom", "_pid"], "left")
-    outer = Window.partitionBy("_chrom").orderBy(F.col("_pid").desc() if backward else F.col("_pid").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = pids.select("_chrom", "_pid", F.last("_end", ignorenulls=True).over(outer).alias("_carry"))
-    return local.join(bounded_broadcast(carry), ["_chrom", "_pid"]).withColumn("_near", F.coalesce("_local", "_carry"))
+    inner = {b: Window.partitionBy("_pid", "_chrom").orderBy(*[F.col(c).desc() if b else F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, 0) for b in (False, True)}
+    outer = {b: Window.partitionBy("_chrom").orderBy(F.col("_pid").desc() if b else F.col("_pid").asc()).rowsBetween(Window.unboundedPreceding, -1) for b in (False, True)}
+    local = staged.select("*", *[F.last(v, ignorenulls=True).over(inner[b]).alias(f"_l{n}") for n, (v, b) in what.items()])
+    at = F.struct(*order)
+    ends = staged.groupBy("_chrom", "_pid").agg(*[(F.min_by if b else F.max_by)(v, F.when(F.col(v).isNotNull(), at)).alias(f"_e{n}") for n, (v, b) in what.items()])
+    carry = ends.select("_chrom", "_pid", *[F.last(f"_e{n}", ignorenulls=True).over(outer[b]).alias(f"_c{n}") for n, (_, b) in what.items()])
+    j = local.join(bounded_broadcast(carry), ["_chrom", "_pid"])
+    return j.select(*df.columns, *[F.coalesce(f"_l{n}", f"_c{n}").alias(n) for n in what])
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, left_names: Names = DEFAULT, right_names: Names = DEFAULT, side: str = "both") -> DataFrame:
@@ -157,34 +182,48 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, left_na
     first after, ties going to the previous one.  ``side='upstream'`` / ``'downstream'`` takes
     only rows that lie wholly before / after along the left row's strand.  Left rows
     without any candidate are left out.  Keys must be unique.
+
+    One sweep finds all three: the last end, the next start, and the next end among the right
+    rows that end later than all rows before them, for of the rows that end after a place the
+    one of least start is always such a row.
     """
     ln, rn = left_names, right_names
     lv = _valid(left, ln).select(F.col(key).alias("_k"), F.col(ln.chrom).alias("_chrom"), F.col(ln.start).cast("long").alias("_s"), F.col(ln.end).cast("long").alias("_e"), *([F.col(ln.strand).alias("_st")] if side != "both" else []))
     rv = _valid(right, rn).select(F.col(right_key).alias("_rk"), F.col(rn.chrom).alias("_chrom"), F.col(rn.start).cast("long").alias("_rs"), F.col(rn.end).cast("long").alias("_re"))
-    none = F.lit(None)
-    # Previous: among right rows with end <= left start, the greatest end, then the least key.
-    ev = F.struct(F.col("_re").alias("at"), F.col("_rk").alias("k"))
-    right_ends = rv.groupBy("_chrom", F.col("_re").alias("_pos")).agg(F.min_by(ev, "_rk").alias("_v")).withColumn("_k", none.cast(dict(lv.dtypes)["_k"])).withColumn("_side", F.lit(0))
-    left_starts = lv.select("_chrom", F.col("_s").alias("_pos"), none.cast(right_ends.schema["_v"].dataType).alias("_v"), "_k", F.lit(1).alias("_side"))
-    prev = _carried(right_ends.unionByName(left_starts), ["_pos", "_side"], "_v", False).filter("_side = 1").select("_k", F.col("_near").alias("_p"))
-    sv = F.struct(F.col("_rs").alias("at"), F.col("_rk").alias("k"))
-    right_starts = rv.groupBy("_chrom", F.col("_rs").alias("_pos")).agg(F.min_by(sv, "_rk").alias("_v")).withColumn("_k", none.cast(dict(lv.dtypes)["_k"])).withColumn("_side", F.lit(1))
-    left_ends = lv.select("_chrom", F.col("_e").alias("_pos"), none.cast(right_starts.schema["_v"].dataType).alias("_v"), "_k", F.lit(0).alias("_side"))
-    nxt = _carried(right_starts.unionByName(left_ends), ["_pos", "_side"], "_v", True).filter("_side = 0").select("_k", F.col("_near").alias("_n"))
-    base = lv.join(prev, "_k", "left").join(nxt, "_k", "left")
-    dp, dn = F.col("_s") - F.col("_p.at"), F.col("_n.at") - F.col("_e")
+    place = F.struct(F.col("_rs").alias("s"), F.col("_re").alias("e"), F.col("_rk").alias("k"))
+    kt = dict(lv.dtypes)["_k"]
+    vt = rv.select(place.alias("v")).schema["v"].dataType
+
+    def events(df, pos, side_no, k=None, **values):
+        return df.select("_chrom", F.col(pos).alias("_pos"), F.lit(side_no).alias("_side"), (F.col(k) if k else F.lit(None)).cast(kt).alias("_k"), *[values.get(n, F.lit(None)).cast(vt).alias(n) for n in ("_end", "_start", "_reach")])
+
+    ev = events(lv, "_s", 1, "_k").unionByName(events(lv, "_e", 2, "_k"))
+    ends = rv.groupBy("_chrom", "_re").agg(F.min_by(place, "_rk").alias("_p"))
+    starts = rv.groupBy("_chrom", "_rs").agg(F.min_by(place, "_rk").alias("_p"))
+    ev = ev.unionByName(events(ends, "_re", 0, _end=F.col("_p"))).unionByName(events(starts, "_rs", 3, _start=F.col("_p")))
+    what = {"_prev": ("_end", False), "_next": ("_start", True)}
+    if side == "both":
+        from strandloom.operators.ordered import Ordered
+
+        top = Ordered(rv, ["_chrom"], ["_rs", "_re", "_rk"]).running({"_m": ("max", F.struct(F.col("_re").alias("e"), (-F.col("_rs")).alias("s")))})
+        # Reached first by this row: of rows with one end, the one of least start (and then key) counts.
+        first = top.filter((F.col("_m.e") == F.col("_re")) & (F.col("_m.s") == -F.col("_rs"))).groupBy("_chrom", "_re").agg(F.min_by(place, F.struct("_rs", "_rk")).alias("_p"))
+        ev = ev.unionByName(events(first, "_re", 0, _reach=F.col("_p")))
+        what["_over"] = ("_reach", True)
+    got = _carried(ev, ["_pos", "_side"], what).filter(F.col("_k").isNotNull())
+    on_s = F.col("_side") == 1
+    per = got.groupBy("_k").agg(F.max(F.when(on_s, F.col("_prev"))).alias("_p"), F.max(F.when(~on_s, F.col("_next"))).alias("_n"), *([F.max(F.when(on_s, F.col("_over"))).alias("_o")] if side == "both" else []))
+    j = lv.join(per, "_k")
+    dp, dn = F.col("_s") - F.col("_p.e"), F.col("_n.s") - F.col("_e")
     if side == "both":
-        hits = overlap_join(lv, rv, "inner", Names("_chrom", "_s", "_e"), Names("_chrom", "_rs", "_re"))
-        over = hits.groupBy("_k").agg(F.min_by("_rk_r", F.struct("_rs_r", "_re_r", "_rk_r")).alias("_o"))
-        j = base.join(over, "_k", "left")
+        over = F.coalesce(F.col("_o.s") < F.col("_e"), F.lit(False))
         take_prev = dn.isNull() | (dp <= dn)
-        got = F.when(F.col("_o").isNotNull(), F.col("_o")).when(take_prev & dp.isNotNull(), F.col("_p.k")).otherwise(F.col("_n.k"))
-        dist = F.when(F.col("_o").isNotNull(), F.lit(0).cast("long")).otherwise(F.least(dp, dn))
+        near = F.when(over, F.col("_o.k")).when(take_prev & dp.isNotNull(), F.col("_p.k")).otherwise(F.col("_n.k"))
+        dist = F.when(over, F.lit(0).cast("long")).otherwise(F.least(dp, dn))
     else:
-        j = base
         before = (F.col("_st") == "-") if side == "downstream" else (F.coalesce(F.col("_st"), F.lit("*")) != "-")
-        got, dist = F.when(before, F.col("_p.k")).otherwise(F.col("_n.k")), F.when(before, dp).otherwise(dn)
-    return j.select(F.col("_k").alias(key), got.alias(f"{right_key}_near" if right_key == key else right_key), dist.alias("distance")).filter(F.col("distance").isNotNull())
+        near, dist = F.when(before, F.col("_p.k")).otherwise(F.col("_n.k")), F.when(before, dp).otherwise(dn)
+    return j.select(F.col("_k").alias(key), near.alias(f"{right_key}_near" if right_key == key else right_key), dist.alias("distance")).filter(F.col("distance").isNotNull())
 
 
 def largest_parent(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, strand: bool = False) -> DataFrame:
