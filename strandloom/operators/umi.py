@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordered import Ordered
+
 
 def barcode(name: Column, n: int) -> Column:
     """The last ``n`` characters of a read name; any N makes them one degenerate code."""
@@ -56,8 +58,7 @@ def unmark_saturated(marked: DataFrame, n: int, name: str = "name") -> DataFrame
     place = ["chrom", "start_pos", "end_pos"]
     sat = saturation(marked, n, name).withColumn("_free", F.round(F.col("molecules") - F.col("barcodes")).cast("long")).filter(F.col("_free") > 0).select(*place, "_free")
     dup = marked.filter("duplicate").join(sat, place)
-    w = Window.partitionBy(*place).orderBy("rec_id")
-    back = dup.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= F.col("_free")).select("rec_id").withColumn("_back", F.lit(True))
+    back = Ordered(dup, place, ["rec_id"]).row_number("_i").filter(F.col("_i") <= F.col("_free")).select("rec_id").withColumn("_back", F.lit(True))
     return marked.join(back, "rec_id", "left").withColumn("duplicate", F.col("duplicate") & F.col("_back").isNull()).drop("_back")
 
 

@@ -11,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions import blocks as B
 from strandloom.operators import setops
 from strandloom.operators.join import overlap_join
-from strandloom.session import stage, table_broadcast
+from strandloom.operators.ordered import Ordered
+from strandloom.session import bounded_broadcast, stage, table_broadcast
 
 PLACES = 1_000_000
 
@@ -62,13 +64,21 @@ def scan_all(df: DataFrame, sizes: DataFrame, size: int, overlap: int, aggs: lis
 
 
 def masked_windows(sizes: DataFrame, masks: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """(chrom, segment_start, window, blocks): windows of ``size`` unmasked bases; a window may be several blocks."""
+    """(chrom, window, blocks): windows of ``size`` unmasked bases; a window may be several blocks.
+
+    A running sum gives every free stretch its place among the free bases of its chromosome,
+    and there windows are arithmetic: no task sees more than the stretches of one window.
+    """
     step = _step(size, overlap)
-    free = setops.complement(masks, sizes)
-    per = free.groupBy("chrom").agg(F.array_sort(F.collect_list(B.block(F.col("start_pos"), F.col("end_pos")))).alias("free"))
-    n = B.length(F.col("free"))
-    w = per.filter(n >= size).select("chrom", "free", F.explode(F.sequence(F.lit(0).cast("long"), n - size, F.lit(step).cast("long"))).alias("window"))
-    return w.select("chrom", "window", B.slice_positions(F.col("free"), F.col("window"), F.col("window") + size).alias("blocks"))
+    free = setops.complement(masks, sizes).withColumn("_len", F.col("end_pos") - F.col("start_pos"))
+    run = Ordered(free, ["chrom"], ["start_pos"]).running({"_upto": ("sum", F.col("_len"))}).withColumn("_off", F.col("_upto") - F.col("_len"))
+    run = stage(run, "free")
+    total = run.groupBy("chrom").agg(F.max("_upto").alias("_total"))
+    hit = run.select("*", F.explode(_hit_windows(F.col("_off"), F.col("_upto"), size, step)).alias("_w")).withColumn("window", F.col("_w") * step)
+    whole = hit.join(bounded_broadcast(total), "chrom").filter(F.col("window") + size <= F.col("_total"))
+    s = F.col("start_pos") + F.greatest(F.col("window") - F.col("_off"), F.lit(0))
+    e = F.col("start_pos") + F.least(F.col("window") + size - F.col("_off"), F.col("_len"))
+    return whole.select("chrom", "window", B.block(s, e).alias("_b")).groupBy("chrom", "window").agg(F.array_sort(F.collect_list("_b")).alias("blocks"))
 
 
 def unmasked(windows: DataFrame, masks: DataFrame, most: float) -> DataFrame:
@@ -148,12 +158,21 @@ def relocate(df: DataFrame, sizes: DataFrame, key: str, seed: int, rounds: int =
 
 
 def rolling_environment(df: DataFrame, value: str, half: int = 5000) -> DataFrame:
-    """``env``: sum of value x length over the stretch within ``half`` bases of each row's start, cut at the edges."""
-    step = df.select("chrom", "start_pos", "end_pos", F.col(value).alias("_v"))
-    focus = df.select("*", F.greatest(F.col("start_pos") - half, F.lit(0)).alias("_f"), (F.col("start_pos") + half).alias("_t"))
-    keys = df.columns
-    from strandloom.operators.join import Names
-
-    hit = overlap_join(focus, step, "inner", Names("chrom", "_f", "_t"))
-    part = F.col("_v_r") * (F.least("_t", "end_pos_r") - F.greatest("_f", "start_pos_r"))
-    return hit.groupBy(*keys).agg(F.sum(part).alias("env"))
+    """``env``: sum of value x length over the stretch within ``half`` bases of each row's start, cut at the edges.
+
+    The sum up to a place x is x times the sum of the values that begin or end (negative) before it,
+    less the sum of these values times their places; so ``env`` is a difference of two running sums.
+    Rows without bases or with a null value add nothing; a row with a null chromosome or start has no ``env`` and is left out.
+    """
+    rows = stage(df.filter(F.col("chrom").isNotNull() & F.col("start_pos").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "focus")
+    none = F.lit(None).cast("long")
+    whole = isinstance(df.schema[value].dataType, T.IntegralType)
+    v = F.col(value).cast("long" if whole else "double")
+    mark = lambda pos, sign: F.struct(F.col(pos).cast("long").alias("pos"), F.lit(0).alias("side"), (v * F.lit(sign)).alias("v"), none.alias("_row"), F.lit(0).alias("sign"))
+    ask = lambda pos, sign: F.struct(pos.cast("long").alias("pos"), F.lit(1).alias("side"), F.lit(0).cast("long" if whole else "double").alias("v"), F.col("_row"), F.lit(sign).alias("sign"))
+    ok = rows.filter((F.col("end_pos") > F.col("start_pos")) & v.isNotNull())
+    steps = ok.select("chrom", F.inline(F.array(mark("start_pos", 1), mark("end_pos", -1)))).groupBy("chrom", "pos", "side", "_row", "sign").agg(F.sum("v").alias("v"))
+    asked = rows.select("chrom", F.inline(F.array(ask(F.greatest(F.col("start_pos") - half, F.lit(0)), -1), ask(F.col("start_pos") + half, 1))))
+    run = Ordered(steps.unionByName(asked), ["chrom"], ["pos", "side"]).running({"_a": ("sum", F.col("v")), "_b": ("sum", F.col("v") * F.col("pos"))})
+    part = run.filter(F.col("_row").isNotNull()).groupBy("_row").agg(F.sum(F.col("sign") * (F.col("_a") * F.col("pos") - F.col("_b"))).alias("env"))
+    return rows.join(part, "_row").select(*df.columns, "env")
