@@ -2,19 +2,20 @@
 
 Line formats are read as text and split with built-in functions, so filters and column
 pruning work on the scan's result and bad fields become nulls instead of errors.
-Formats whose records span lines (FASTA, MAF, PHYLIP) are read with a record separator;
-formats that depend on line order (WIG, FASTQ) get it from one record per file section.
+Formats whose records span lines (FASTA, MAF, PHYLIP, WIG sections) are read with a record
+separator; FASTQ records are found by line numbers counted over the blocks of a file.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import blocks as B
 from strandloom.operators.join import overlap_join
+from strandloom.session import bounded_broadcast
 from strandloom.sources import schema as S
 
 
@@ -165,21 +166,20 @@ def records_by_id(seqs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, bases, qual) of four-line FASTQ files.
+    """(id, description, bases, qual) of four-line FASTQ files; a record cut off at a file's end is left out.
 
-    Records are cut at a line end followed by ``@`` and completed to sequence, plus line and
-    quality; a quality line that starts with ``@`` is joined back to its record.
+    Records are counted, not searched for, since a quality line may start with ``@`` or ``+``: a line's
+    number in its file is its number in its block of the file plus the lines of the blocks
+    before, and only one count per block is carried between blocks.
     """
-    t = spark.read.option("lineSep", "\n+").text(path).select(F.monotonically_increasing_id().alias("n"), F.col("value"), F.input_file_name().alias("file"))
-    # Each piece is: [plus rest, quality of the record before, head, bases].
-    from pyspark.sql import Window
-
-    p = t.withColumn("l", F.split(F.regexp_replace("value", "\r", ""), "\n"))
-    w = Window.partitionBy("file").orderBy("n")
-    nxt = F.lead("l").over(w)
-    q = p.withColumn("next", nxt).filter(F.col("next").isNotNull())
-    head = F.element_at("l", -2)
-    return q.filter(F.size("l") >= 2).select(F.regexp_extract(head, r"^@(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^@\S*", "")).alias("description"), F.element_at("l", -1).alias("bases"), F.get("next", F.lit(1)).alias("qual"))
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    per = t.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")
+    start = bounded_broadcast(per.select("file", "block", (before - F.col("first")).alias("shift")))
+    line = t.join(start, ["file", "block"]).withColumn("i", F.col("n") + F.col("shift"))
+    part = lambda k: F.max(F.when(F.col("i") % 4 == k, F.rtrim("value", F.lit("\r"))))
+    r = line.groupBy("file", F.floor(F.col("i") / 4).alias("record")).agg(part(0).alias("head"), part(1).alias("bases"), part(3).alias("qual")).filter(F.col("qual").isNotNull())
+    return r.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("id"), F.trim(F.regexp_replace("head", r"^@\S*", "")).alias("description"), "bases", "qual")
 
 
 def parse_sam(text: DataFrame, value: str = "value") -> DataFrame:
@@ -187,7 +187,9 @@ def parse_sam(text: DataFrame, value: str = "value") -> DataFrame:
     t = text.filter(~F.col(value).startswith("@")).select(F.split(value, "\t", -1).alias("f")).filter(F.size("f") >= 11)
     tags = F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, F.lit(6), F.length(x)).alias("v")))
     keys = F.array_distinct(F.transform(tags, lambda x: x["k"]))
-    tag_map = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(tags, lambda x: x["k"] == k), F.lit(0))["v"]))
+    # A tag that occurs twice keeps its first value; only lines with such a tag are searched key by key.
+    first = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(tags, lambda x: x["k"] == k), F.lit(0))["v"]))
+    tag_map = F.when(F.size(keys) == F.size(tags), F.map_from_entries(tags)).otherwise(first)
     star = lambda c: F.when(c != "*", c)
     r = t.select(
         _f(0).alias("name"), _f(1).try_cast("int").alias("flag"), star(_f(2)).alias("chrom"), _f(3).try_cast("long").alias("pos"), _f(4).try_cast("int").alias("mapq"), star(_f(5)).alias("cigar"),
