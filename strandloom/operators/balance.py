@@ -2,17 +2,21 @@
 
 Fragment-replicate by estimated load:
 
-1. *Estimate.* Loads are counted over hash buckets of all rows and, inside the
+1. *Combine.* For sums, rows are first combined per map batch; what is weighed and moved
+   from then on are the combined rows.
+2. *Estimate.* Loads are counted over hash buckets of all these rows and, inside the
    heavy buckets, per key.  The estimate only steers placement; no result depends
    on it.
-2. *Plan.* On the driver, buckets and heavy keys (at most a few per task) are
+3. *Plan.* On the driver, buckets (some per task) and heavy keys (at most a few per task) are
    bin-packed to tasks, largest first; a key above a task's fair share is split
    into shards in proportion to its load, each shard to another task.
-3. *Run.* Rows are combined per map batch, sent to the task of their shard with
-   ``repartitionById`` and aggregated there.  Only keys with several shards meet a
-   second, tiny aggregation.
-4. *Join.* ``balanced_join`` sends a matching row to exactly those tasks that hold
+4. *Run.* Rows are sent to the task of their shard with ``repartitionById`` and aggregated
+   there.  Only keys with several shards meet a second, tiny aggregation.
+5. *Join.* ``balanced_join`` sends a matching row to exactly those tasks that hold
    a shard of its key.
+
+A row's shard follows from a hash of the row itself, so a task that runs again after
+a lost executor sends its rows where the first run sent them.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 
 from strandloom.session import parallelism, stage
 
-BUCKETS = 4096
+LEAST_BUCKETS = 4096
 
 
 @dataclass
@@ -39,14 +43,34 @@ class LoadPlan:
     bucket_task: list[int]
     heavy: dict[int, list[int]] = field(default_factory=dict)
 
-    def shard_tasks(self, key_hash: Column) -> Column:
-        """array<int>: the tasks that hold shards of the key with this hash."""
-        table = F.array(*[F.lit(t) for t in self.bucket_task])
-        light = F.array(F.element_at(table, (F.pmod(key_hash, F.lit(BUCKETS)) + 1).cast("int")))
+    def with_tasks(self, df: DataFrame, hash_col: str) -> DataFrame:
+        """``df`` with ``__tasks`` (array<int>): the tasks that hold shards of the key with this hash.
+
+        The two lists are broadcast; they have a few entries per task, whatever the data.
+        """
+        spark = df.sparkSession
+        at = F.pmod(F.col(hash_col), F.lit(len(self.bucket_task)))
+        light = spark.createDataFrame(list(enumerate(self.bucket_task)), "__bucket long, __light int")
+        out = df.withColumn("__bucket", at).join(F.broadcast(light), "__bucket").drop("__bucket")
         if not self.heavy:
-            return light
-        pairs = F.create_map(*[x for k, ts in self.heavy.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
-        return F.coalesce(F.try_element_at(pairs, key_hash), light)
+            return out.withColumn("__tasks", F.array("__light")).drop("__light")
+        heavy = spark.createDataFrame(list(self.heavy.items()), "__heavy long, __shards array<int>")
+        out = out.join(F.broadcast(heavy), F.col(hash_col) == F.col("__heavy"), "left")
+        return out.withColumn("__tasks", F.coalesce("__shards", F.array("__light"))).drop("__light", "__heavy", "__shards")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a row's columns; maps, which can't be hashed, are left out."""
+    def plain(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return all(plain(f.dataType) for f in t)
+        return plain(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType))
+
+    return F.xxhash64(F.lit(1), *[F.col(f"`{f.name}`") for f in df.schema if plain(f.dataType)])
+
+
+def _shard(row: Column) -> Column:
+    return F.element_at("__tasks", (F.pmod(row, F.size("__tasks")) + 1).cast("int"))
 
 
 def key_hash(cols: Sequence[str]) -> Column:
@@ -57,27 +81,31 @@ def key_hash(cols: Sequence[str]) -> Column:
 def plan_load(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
     """Estimate the load of the keys of ``df`` and place them on ``tasks`` tasks.
 
-    What reaches the driver is bounded whatever the data: ``BUCKETS`` bucket counts, and
+    What reaches the driver is bounded whatever the data: 16 bucket counts a task (4,096 at least), and
     at most ``4 * tasks`` heavy keys (each above a quarter of a task's fair share).  An
     empty frame gives an even plan.
     """
-    tasks = tasks or parallelism(df.sparkSession)
-    h = df.select(key_hash(keys).alias("h"))
-    by_bucket = {r["b"]: r["n"] for r in h.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
+    return _plan(df.select(key_hash(keys).alias("h")), tasks or parallelism(df.sparkSession))
+
+
+def _plan(h: DataFrame, tasks: int) -> LoadPlan:
+    buckets = max(LEAST_BUCKETS, 16 * tasks)
+    by_bucket = {r["b"]: r["n"] for r in h.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.count("*").alias("n")).collect()}
     total = sum(by_bucket.values())
     heavy_loads: dict[int, float] = {}
     if total:
         # A key can only be heavy if its bucket is: few hashes are left to count exactly.
-        hot = [b for b, n in by_bucket.items() if n * 4 * tasks >= total]
+        hot = [(b,) for b, n in by_bucket.items() if n * 4 * tasks >= total]
         if hot:
             share = total / tasks
-            rows = h.filter(F.pmod("h", F.lit(BUCKETS)).isin(hot)).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= share / 4).collect()
+            side = F.broadcast(h.sparkSession.createDataFrame(hot, "b long"))
+            rows = h.withColumn("b", F.pmod("h", F.lit(buckets))).join(side, "b", "left_semi").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= share / 4).collect()
             heavy_loads = {r["h"]: float(r["n"]) for r in rows}
     for k, n in heavy_loads.items():
-        by_bucket[k % BUCKETS] -= n
+        by_bucket[k % buckets] -= n
     items: list[tuple[float, str, int]] = [(max(0.0, n), "b", b) for b, n in by_bucket.items()]
     fair = max(1.0, total / tasks)
-    plan = LoadPlan(tasks, [b % tasks for b in range(BUCKETS)])
+    plan = LoadPlan(tasks, [b % tasks for b in range(buckets)])
     for k, n in heavy_loads.items():
         shards = min(tasks, max(1, -(-int(n * 2) // int(fair))))
         items += [(n / shards, "k", k)] * shards
@@ -87,7 +115,8 @@ def plan_load(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> L
     for n, kind, k in items:
         skipped = []
         load, t = heapq.heappop(bins)
-        while kind == "k" and t in plan.heavy.get(k, ()) and bins:
+        taken = set(plan.heavy.get(k, ())) if kind == "k" else ()
+        while t in taken and bins:
             skipped.append((load, t))
             load, t = heapq.heappop(bins)
         if kind == "b":
@@ -134,16 +163,15 @@ def balanced_sums(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], p
     keys = list(keys)
     names = [f"__s{i}" for i in range(len(sums))]
     rows = df.select(*keys, F.lit(1).cast("long").alias("__n"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(a) for a, c in zip(names, sums.values())])
-    plan = plan or plan_load(df, keys)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    part = rows.mapInArrow(_combine(keys, ["__n", *names], to_arrow_schema(schema)), schema)
-    h = key_hash(keys)
-    part = part.withColumn("__tasks", plan.shard_tasks(h))
-    # The shard of a combined row: any spread will do, as long as it doesn't depend on the key alone.
-    part = part.withColumn("__task", F.element_at("__tasks", (F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.size("__tasks")) + 1).cast("int")))
-    part = part.withColumn("__many", F.size("__tasks") > 1).drop("__tasks")
+    part = rows.mapInArrow(_combine(keys, ["__n", *names], to_arrow_schema(schema)), schema).withColumn("__h", key_hash(keys))
+    # Read by the estimate and by the run: staged, so the input is scanned once.
+    part = stage(part, "combined")
+    plan = plan or _plan(part.select(F.col("__h").alias("h")), parallelism(df.sparkSession))
+    part = plan.with_tasks(part, "__h")
+    part = part.withColumn("__task", _shard(F.xxhash64("__h", "__n", *names))).withColumn("__many", F.size("__tasks") > 1).drop("__tasks", "__h")
     agg = [F.sum("__n").alias("__n"), *[F.sum(a).alias(a) for a in names]]
     once = part.repartitionById(plan.tasks, F.col("__task")).groupBy("__task", "__many", *keys).agg(*agg)
     if plan.heavy:
@@ -168,9 +196,9 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     plan = plan or plan_load(left, keys)
     clash = [c for c in right.columns if c in left.columns and c not in keys]
     right = right.withColumnsRenamed({c: f"{c}_right" for c in clash})
-    l_tasks = plan.shard_tasks(key_hash(keys))
-    lt = left.withColumn("__task", F.element_at(l_tasks, (F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.size(l_tasks)) + 1).cast("int")))
-    rt = right.withColumn("__task", F.explode(plan.shard_tasks(key_hash(keys))))
+    lt = plan.with_tasks(left.withColumn("__h", key_hash(keys)), "__h")
+    lt = lt.withColumn("__task", _shard(row_hash(left))).drop("__tasks", "__h")
+    rt = plan.with_tasks(right.withColumn("__h", key_hash(keys)), "__h").withColumn("__task", F.explode("__tasks")).drop("__tasks", "__h")
     lt = lt.repartitionById(plan.tasks, F.col("__task"))
     rt = rt.repartitionById(plan.tasks, F.col("__task"))
     return lt.join(rt.hint("shuffle_hash") if how != "inner" else rt, ["__task", *keys], how).drop("__task")
