@@ -49,11 +49,15 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return Q.exact_percentiles(intensity_values(spark, d), "col", "value", PROBS).withColumn("percentile", F.round("percentile", 6))
 
 
-@R.add("p2_merged_summaries")
+@R.add("p2_merged_summaries", f"""
+WITH {CELLS_SQL}, s AS (SELECT col, run_day, CAST(ceil(ln(value) / ln(1.01 / 0.99)) AS BIGINT) AS bucket, count(*) AS n FROM cells GROUP BY 1, 2, 3), b AS (SELECT col, bucket, sum(n) AS n FROM s GROUP BY 1, 2),
+c AS (SELECT col, bucket, sum(n) OVER (PARTITION BY col ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY col) AS total FROM b), p AS (SELECT unnest([{", ".join(map(str, PROBS))}])::double AS prob)
+SELECT col, prob, CAST(max(total) AS BIGINT) AS n, round(pow(1.01 / 0.99, min(bucket)) * (2 / (1 + 1.01 / 0.99)), 6) AS percentile FROM c, p WHERE upto > floor(prob * (total - 1)) GROUP BY 1, 2
+""")
 def p2_merged_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles from summaries made per run_day and put together; each cell belongs to the first day that has it."""
     per_day = Q.summaries(intensity_values(spark, d), ["col", "run_day"], "value")
-    return Q.summary_percentiles(per_day, "col", PROBS)
+    return Q.summary_percentiles(per_day, "col", PROBS).withColumn("percentile", F.round("percentile", 6))
 
 
 # --- p3: clusters ------------------------------------------------------------------------
