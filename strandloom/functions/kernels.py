@@ -200,7 +200,7 @@ def skellam_pmf(k: int, l1: float, l2: float) -> float:
 
 def scan_pvalue(k: float, lam: float, w: float, t: float) -> float:
     """P of a window of width ``w`` with at least ``k`` counts somewhere in length ``t`` at rate ``lam``; 1 for k <= 2."""
-    k = int(k)
+    k = int(k + 1e-9)  # summed weights of whole counts may fall short by rounding
     if k <= 2:
         return 1.0
     m = lam * w

@@ -108,18 +108,28 @@ def low_repeat_intervals(spark, d):
     return G.low_repeat(t, minus(spark, d), 0.5).select("interval_id")
 
 
-@R.add("transcript_windows")
+@R.add("transcript_windows", f"""
+{TX}, x AS (SELECT rec_id, name, strand, unnest(blocks) AS b FROM t), o AS (SELECT *, sum(b.end_pos - b.start_pos) OVER (PARTITION BY rec_id ORDER BY b.start_pos) - (b.end_pos - b.start_pos) AS off, sum(b.end_pos - b.start_pos) OVER (PARTITION BY rec_id) AS n FROM x),
+w AS (SELECT rec_id, n, strand, unnest(range(0, CAST(n - 20 AS BIGINT) + 1, 8)) AS s FROM (SELECT DISTINCT rec_id, n, strand FROM o) WHERE n >= 20), l AS (SELECT rec_id, s, CASE WHEN strand = '-' THEN n - s - 20 ELSE s END AS lo FROM w)
+SELECT name, CAST(s // 8 AS INTEGER) AS window, CAST(min(b.start_pos + greatest(lo - off, 0)) AS BIGINT) AS start_pos, CAST(max(b.start_pos + least(lo + 20 - off, b.end_pos - b.start_pos)) AS BIGINT) AS end_pos
+FROM l JOIN o ON l.rec_id = o.rec_id AND off < lo + 20 AND lo < off + b.end_pos - b.start_pos GROUP BY name, l.rec_id, s
+""")
 def transcript_windows(spark, d):
     w = G.transcript_windows(transcripts_of_reads(spark, d), 20, 8)
     return w.select("name", "window", B.first_start(F.col("blocks")).alias("start_pos"), B.last_end(F.col("blocks")).alias("end_pos"))
 
 
-@R.add("aggregate_profile")
+@R.add("aggregate_profile", f"""
+WITH {IV}, r AS (SELECT interval_id, chrom, strand, start_pos - 500 AS s, end_pos + 500 AS e, (end_pos - start_pos + 1000) / 20.0 AS w FROM iv), ev AS (SELECT chrom, unnest([start_pos, end_pos]) AS pos, unnest([1, -1]) AS delta FROM iv), sm AS (SELECT chrom, pos, sum(delta) AS delta FROM ev GROUP BY 1, 2),
+seg AS (SELECT chrom, pos AS s, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS e, sum(delta) OVER (PARTITION BY chrom ORDER BY pos) AS depth FROM sm),
+b AS (SELECT r.*, unnest(range(20)) AS bin FROM r), x AS (SELECT CASE WHEN strand = '-' THEN 19 - bin ELSE bin END AS bin, greatest(least(seg.e, b.s + (bin + 1) * w) - greatest(seg.s, b.s + bin * w), 0) * depth / w AS part FROM b JOIN seg ON b.chrom = seg.chrom AND depth > 0 AND seg.s < b.s + (bin + 1) * w AND b.s + bin * w < seg.e)
+SELECT CAST(bin AS INTEGER) AS bin, round(sum(part) / (SELECT count(*) FROM r), 6) AS mean, (SELECT count(*) FROM r) AS regions FROM x GROUP BY bin
+""")
 def aggregate_profile(spark, d):
     from strandloom.operators.peaks import coverage_segments
 
     wide = iv(spark, d).select("interval_id", "chrom", "strand", (F.col("start_pos") - 500).alias("start_pos"), (F.col("end_pos") + 500).alias("end_pos"))
-    return G.aggregate_profile(wide, coverage_segments(iv(spark, d)), "interval_id", "depth", 20)
+    return G.aggregate_profile(wide, coverage_segments(iv(spark, d)), "interval_id", "depth", 20).withColumn("mean", F.round("mean", 6))
 
 
 @R.add("end_pile", f"WITH {RD} SELECT chrom, strand, CASE WHEN strand = '-' THEN start_pos ELSE end_pos - 1 END AS pos, count(*) AS n FROM rd WHERE chrom IS NOT NULL AND start_pos IS NOT NULL GROUP BY ALL")
@@ -128,16 +138,16 @@ def end_pile(spark, d):
 
 
 @R.add("ends_to_genes", f"""
-WITH {IV}, e AS (SELECT interval_id AS end_id, chrom, strand, CASE WHEN strand = '-' THEN start_pos ELSE end_pos - 1 END AS pos FROM iv WHERE name LIKE 'NX%' AND strand IS NOT NULL),
-t AS (SELECT interval_id, chrom, strand, CASE WHEN strand = '-' THEN start_pos ELSE end_pos - 1 END AS tip FROM iv WHERE name NOT LIKE 'NX%' AND strand IS NOT NULL),
-j AS (SELECT end_id, CAST(interval_id AS VARCHAR) AS name, abs(pos - tip) AS distance FROM e JOIN t ON e.chrom = t.chrom AND e.strand = t.strand AND abs(pos - tip) <= 2000)
+WITH {RD}, {IV.strip()}, e AS (SELECT DISTINCT chrom, strand, CASE WHEN strand = '-' THEN start_pos ELSE end_pos - 1 END AS pos FROM mp WHERE strand IS NOT NULL),
+t AS (SELECT interval_id, chrom, strand, CASE WHEN strand = '-' THEN start_pos ELSE end_pos - 1 END AS tip FROM iv WHERE strand IS NOT NULL),
+j AS (SELECT e.chrom || ':' || pos || e.strand AS end_id, CAST(interval_id AS VARCHAR) AS name, abs(pos - tip) AS distance FROM e JOIN t ON e.chrom = t.chrom AND e.strand = t.strand AND abs(pos - tip) <= 2000)
 SELECT end_id, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY end_id ORDER BY distance, name) AS k FROM j) WHERE k = 1
 """)
 def ends_to_genes(spark, d):
+    """Every place where reads end, to the nearest 3' end of an interval on its strand."""
     i = iv(spark, d).filter(F.col("strand").isNotNull())
-    tip = F.when(F.col("strand") == "-", F.col("start_pos")).otherwise(F.col("end_pos") - 1)
-    ends = i.filter(F.col("name").startswith("NX")).select(F.col("interval_id").alias("end_id"), "chrom", tip.alias("pos"), "strand")
-    t = i.filter(~F.col("name").startswith("NX")).select(F.col("interval_id").cast("string").alias("name"), "chrom", "strand", "start_pos", "end_pos")
+    ends = G.end_pile(mapped(spark, d).filter(F.col("strand").isNotNull())).select(F.concat("chrom", F.lit(":"), F.col("pos").cast("string"), "strand").alias("end_id"), "chrom", "pos", "strand")
+    t = i.select(F.col("interval_id").cast("string").alias("name"), "chrom", "strand", "start_pos", "end_pos")
     return G.end_assignment(ends, t, 2000)
 
 

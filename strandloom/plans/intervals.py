@@ -325,7 +325,14 @@ def unmasked_windows(spark, d):
     return W.unmasked(W.tile(sizes(spark, d), 10_000), minus(spark, d), 0.01)
 
 
-@R.add("masked_space_windows")
+@R.add("masked_space_windows", f"""
+WITH {IV}, e AS (SELECT chrom, start_pos, end_pos FROM iv WHERE chrom IN (SELECT chrom FROM chrom_sizes) UNION ALL SELECT chrom, -1, 0 FROM chrom_sizes UNION ALL SELECT chrom, length, length + 1 FROM chrom_sizes),
+{ISLANDS.format(k='chrom', t='e', op='>')}, g AS (SELECT chrom, end_pos AS s, lead(start_pos) OVER (PARTITION BY chrom ORDER BY start_pos) AS e FROM m), f AS (SELECT * FROM g WHERE e > s),
+o AS (SELECT *, sum(e - s) OVER (PARTITION BY chrom ORDER BY s) - (e - s) AS off, sum(e - s) OVER (PARTITION BY chrom) AS total FROM f),
+w AS (SELECT chrom, unnest(range(0, CAST(total AS BIGINT) - 5000000 + 1, 5000000)) AS win FROM (SELECT DISTINCT chrom, total FROM o)),
+b AS (SELECT o.chrom, w.win, s + greatest(win - off, 0) AS s, s + least(win + 5000000 - off, e - s) AS e FROM o JOIN w ON o.chrom = w.chrom AND off < win + 5000000 AND win < off + e - s)
+SELECT chrom, win AS window, CAST(min(s) AS BIGINT) AS start_pos, CAST(max(e) AS BIGINT) AS end_pos, CAST(sum(e - s) AS BIGINT) AS bases, CAST(count(*) AS INTEGER) AS n_blocks FROM b GROUP BY 1, 2
+""")
 def masked_space_windows(spark, d):
     """Windows of 5 million unmasked bases, as block lists."""
     w = W.masked_windows(sizes(spark, d), iv(spark, d), 5_000_000)

@@ -295,12 +295,17 @@ def set_hits(spark, d):
     return E.set_enrichment(sets, sel, 100_000).select("set", "size", "hits")
 
 
-@R.add("set_enrichment_p")
+@R.add("set_enrichment_p", """
+WITH sets AS (SELECT DISTINCT p_brand AS set, p_partkey AS gene FROM part), sel AS (SELECT DISTINCT l_partkey AS gene FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), u AS (SELECT count(*) AS t FROM part), n AS (SELECT count(*) AS d FROM sel),
+h AS (SELECT set, count(*) AS size, count(sel.gene) AS hits FROM sets LEFT JOIN sel ON sets.gene = sel.gene GROUP BY 1), x AS (SELECT h.*, t, d, unnest(range(hits, least(size, d) + 1)) AS i FROM h, u, n),
+p AS (SELECT set, sum(CASE WHEN d - i <= t - size THEN exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(t - size + 1) - lgamma(d - i + 1) - lgamma(t - size - d + i + 1) - lgamma(t + 1) + lgamma(d + 1) + lgamma(t - d + 1)) ELSE 0 END) AS p FROM x GROUP BY 1)
+SELECT set, size, hits, round(CASE WHEN hits <= 0 THEN 1 ELSE least(1, p) END, 7) AS p FROM h JOIN p USING (set)
+""")
 def set_enrichment_p(spark, d):
     sets, _ = gene_sets(spark, d)
     sel = table(spark, d, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).select(F.col("l_partkey").alias("gene"))
     universe = table(spark, d, "part").count()
-    return E.set_enrichment(sets, sel, universe)
+    return E.set_enrichment(sets, sel, universe).withColumn("p", F.round("p", 7))
 
 
 @R.add("set_max_mean", """

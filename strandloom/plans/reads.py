@@ -242,20 +242,29 @@ def umi_duplicates(spark, d):
     return U.mark_duplicates(rd(spark, d).select("rec_id", "name", "chrom", "start_pos", "end_pos"), 6).select("rec_id", "duplicate")
 
 
-@R.add("umi_saturation")
+UMI = f"""{RD}, cd AS (SELECT rec_id, chrom, start_pos, end_pos, CASE WHEN contains(right(name, 2), 'N') THEN 'NN' ELSE right(name, 2) END AS code FROM mp),
+sat AS (SELECT chrom, start_pos, end_pos, count(*) AS reads, count(DISTINCT code) AS barcodes FROM cd GROUP BY 1, 2, 3),
+mol AS (SELECT *, CASE WHEN barcodes >= 16 THEN reads ELSE least(ln(1 - barcodes / 16) / ln(1 - 1 / 16), reads) END AS molecules FROM sat)"""
+
+
+@R.add("umi_saturation", f"WITH {UMI} SELECT chrom, start_pos, end_pos, reads, barcodes, round(molecules, 9) + 0.0 AS molecules FROM mol")
 def umi_saturation(spark, d):
-    return U.saturation(mapped(spark, d), 2)
+    return U.saturation(mapped(spark, d), 2).withColumn("molecules", F.round("molecules", 9))
 
 
-@R.add("umi_corrected")
+@R.add("umi_corrected", f"""
+WITH {UMI}, mk AS (SELECT *, code IS NOT NULL AND rec_id > min(rec_id) OVER (PARTITION BY chrom, start_pos, end_pos, code) AS dup FROM cd),
+k AS (SELECT mk.*, row_number() OVER (PARTITION BY chrom, start_pos, end_pos, dup ORDER BY rec_id) AS i FROM mk)
+SELECT rec_id, dup AND i > round(molecules - barcodes) AS duplicate FROM k JOIN mol USING (chrom, start_pos, end_pos)
+""")
 def umi_corrected(spark, d):
     m = U.mark_duplicates(mapped(spark, d).select("rec_id", "name", "chrom", "start_pos", "end_pos"), 2)
     return U.unmark_saturated(m, 2).select("rec_id", "duplicate")
 
 
-@R.add("umi_threshold_fit")
+@R.add("umi_threshold_fit", f"WITH {UMI}, f AS (SELECT regr_slope(barcodes, reads) AS s, regr_intercept(barcodes, reads) AS i FROM sat) SELECT round(s, 9) AS slope, round(i, 9) AS intercept, round(avg(pow(barcodes - s * reads - i, 2)), 9) AS mse FROM sat, f GROUP BY s, i")
 def umi_threshold_fit(spark, d):
-    return U.threshold_fit(U.saturation(mapped(spark, d), 2))
+    return U.threshold_fit(U.saturation(mapped(spark, d), 2)).select(*[F.round(c, 9).alias(c) for c in ("slope", "intercept", "mse")])
 
 
 @R.add("cleared_flags", "SELECT rec_id, flag & ~1024 AS flag FROM reads")
@@ -285,10 +294,16 @@ def window_counts_contained(spark, d):
     return c.withColumn("count", F.round("count", 6))
 
 
-@R.add("window_scan_p")
+@R.add("window_scan_p", f"""
+WITH {RD}, {WIN}, g AS (SELECT m.chrom, sum(m.weight) / max(c.length) AS rate, max(c.length) AS t FROM mp m JOIN chrom_sizes c ON m.chrom = c.chrom GROUP BY 1),
+c AS (SELECT chrom, start_pos, end_pos, sum(weight) AS count FROM ww GROUP BY 1, 2, 3),
+p AS (SELECT *, CAST(floor(count + 1e-9) AS BIGINT) AS k, rate * {SIZE} AS m FROM c JOIN g USING (chrom)),
+q AS (SELECT *, exp((k - 1) * ln(m) - m - lgamma(k)) AS pmf, list_sum(list_transform(range(0, k), lambda i: exp(i * ln(m) - m - lgamma(i + 1)))) AS cdf FROM p)
+SELECT chrom, start_pos, end_pos, round(count, 6) AS count, round(CASE WHEN k <= 2 THEN 1 ELSE least(1, greatest(0, 1 - cdf * exp(-(k - m) / k * rate * (t - {SIZE}) * pmf))) END, 9) AS scan_p FROM q
+""")
 def window_scan_p(spark, d):
     """Scan-statistic p value of every window with reads."""
-    return SC.scored_windows(mapped(spark, d), sizes(spark, d), SIZE, OVERLAP).select("chrom", "start_pos", "end_pos", "count", "scan_p")
+    return SC.scored_windows(mapped(spark, d), sizes(spark, d), SIZE, OVERLAP).select("chrom", "start_pos", "end_pos", F.round("count", 6).alias("count"), F.round("scan_p", 9).alias("scan_p"))
 
 
 def by_library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

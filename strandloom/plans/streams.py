@@ -38,6 +38,6 @@ def stream_sessions(spark, d):
     return out.withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).withColumn("session_end", F.col("session_end").cast("timestamp_ntz"))
 
 
-@R.add("stream_bucket_counts")
+@R.add("stream_bucket_counts", "SELECT event_type, CAST(ceil(ln(value) / ln(1.01 / 0.99)) AS BIGINT) AS bucket, count(*) AS n FROM events WHERE value > 0 AND isfinite(value) GROUP BY 1, 2")
 def stream_bucket_counts(spark, d):
     return _drain(ST.bucket_counts(_events(spark, d), ["event_type"], "value"))

@@ -101,9 +101,19 @@ def all_kmers(spark, d):
 MOTIF = np.array([[0.05, 0.05, 0.05, 0.85], [0.05, 0.05, 0.85, 0.05], [0.85, 0.05, 0.05, 0.05], [0.05, 0.6, 0.3, 0.05], [0.05, 0.05, 0.05, 0.85], [0.05, 0.85, 0.05, 0.05], [0.85, 0.05, 0.05, 0.05]])
 
 
-@R.add("pwm_scan")
+def _log_odds(m: np.ndarray, seq: str) -> str:
+    """SQL for the log odds of the bases from ``start`` against even odds; any other letter rules a place out."""
+    case = lambda j: " ".join(f"WHEN '{b}' THEN {float(np.log(max(p, 1e-12)) - np.log(0.25))!r}" for b, p in zip("ACGT", m[j]))
+    return " + ".join(f"CASE upper({seq}[start + {j + 1}]) {case(j)} ELSE -1e9 END" for j in range(len(m)))
+
+
+@R.add("pwm_scan", f"""
+WITH t AS (SELECT rec_id AS id, seq, unnest(range(0, length(seq) - {len(MOTIF) - 1})) AS start FROM reads WHERE length(seq) >= {len(MOTIF)}),
+s AS (SELECT id, start, {_log_odds(MOTIF, 'seq')} AS p, {_log_odds(MO.reverse_complement(MOTIF), 'seq')} AS m FROM t)
+SELECT id, 'ap' AS motif, start, start + {len(MOTIF)} AS "end", CASE WHEN p >= m THEN '+' ELSE '-' END AS strand, round(greatest(p, m), 6) AS score FROM s WHERE greatest(p, m) >= 4.0
+""")
 def pwm_scan(spark, d):
-    return MO.scan(seqs(spark, d).select("id", "bases"), [("ap", MOTIF)], 4.0)
+    return MO.scan(seqs(spark, d).select("id", "bases"), [("ap", MOTIF)], 4.0).withColumn("score", F.round("score", 6))
 
 
 @R.add("pwm_shuffled_control")
@@ -114,7 +124,12 @@ def pwm_shuffled_control(spark, d):
     return s.groupBy("motif", F.floor("score").alias("score")).agg(F.count("*").alias("n"))
 
 
-@R.add("seed_matches")
+@R.add("seed_matches", """
+WITH q AS (SELECT unnest(['q1', 'q2']) AS query, unnest(['ACGTTGCAAC', 'GGATCCATTA']) AS b), t AS (SELECT rec_id AS target, seq, unnest(range(0, length(seq) - 9)) AS start FROM reads WHERE length(seq) >= 10),
+h AS (SELECT query, target, start, seq[start + 1:start + 10] AS p, b FROM t, q WHERE seq[start + 1:start + 5] = b[1:5] OR seq[start + 6:start + 10] = b[6:10])
+SELECT query, target, CAST(start AS INTEGER) AS start, CAST(hamming(p, b) AS INTEGER) AS mismatches FROM h WHERE hamming(p, b) <= 1
+"""
+)
 def seed_matches(spark, d):
     q = spark.createDataFrame([("q1", "ACGTTGCAAC"), ("q2", "GGATCCATTA")], "query string, q_bases string")
     t = seqs(spark, d).select(F.col("id").alias("target"), F.col("bases").alias("t_bases"))
@@ -173,7 +188,10 @@ def conserved_columns(spark, d):
     return MS.conserved(pile(spark, d))
 
 
-@R.add("fourfold_sites")
+@R.add("fourfold_sites", f"""
+WITH {PILE}, r AS (SELECT block_id, replace(text, '-', '') AS t FROM p WHERE species = 'lib_a'), k AS (SELECT block_id, t, unnest(range(0, length(t) // 3)) AS i FROM r)
+SELECT block_id, CAST(i * 3 + 2 AS INTEGER) AS "column" FROM k WHERE upper(t[i * 3 + 1:i * 3 + 2]) IN ({", ".join(f"'{x}'" for x in MS.FOURFOLD)})
+""")
 def fourfold_sites(spark, d):
     return MS.fourfold(pile(spark, d), "lib_a")
 
@@ -307,7 +325,12 @@ def gmt_text(spark, d):
     return WR.gmt_lines(s)
 
 
-@R.add("wig_text")
+@R.add("wig_text", f"""
+WITH {IV}, ev AS (SELECT chrom, unnest([start_pos, end_pos]) AS pos, unnest([1, -1]) AS delta FROM iv), s AS (SELECT chrom, pos, sum(delta) AS delta FROM ev GROUP BY 1, 2),
+r AS (SELECT chrom, pos AS s, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS e, CAST(sum(delta) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS depth FROM s), d AS (SELECT * FROM r WHERE depth > 0),
+n AS (SELECT *, CASE WHEN lag(e) OVER w = s AND lag(depth) OVER w = depth THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY chrom ORDER BY s)), g AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY s) AS g FROM n)
+SELECT chrom, min(s) AS start_pos, 'variableStep chrom=' || chrom || ' span=' || (max(e) - min(s)) || chr(10) || (min(s) + 1) || ' ' || depth AS value FROM g GROUP BY chrom, g, depth
+""")
 def wig_text(spark, d):
     from strandloom.operators.peaks import coverage_segments
 
