@@ -105,12 +105,13 @@ class Evolution:
     def log_likelihood(self, columns: list[Mapping[str, str]], omega: float = 1.0) -> float:
         return float(np.log(np.maximum(self.likelihoods(columns, omega), 1e-300)).sum())
 
-    def fit_omega(self, columns: list[Mapping[str, str]], lo: float = 1e-3, hi: float = 10.0) -> tuple[float, float]:
-        """Rate that makes the columns most likely (golden section on its logarithm), and its log odds against 1."""
+    def fit_omega(self, columns: list[Mapping[str, str]], lo: float = 1e-3, hi: float = 10.0, weights: np.ndarray | None = None) -> tuple[float, float]:
+        """Rate that makes the columns most likely (golden section on its logarithm), and its log odds against 1; ``weights`` counts each column so often."""
         g = (5**0.5 - 1) / 2
         a, b = np.log(lo), np.log(hi)
         leaves = self._leaves(columns)
-        f = lambda x: float(np.log(np.maximum(self._pruned(leaves, float(np.exp(x))), 1e-300)).sum())
+        each = np.ones(len(columns)) if weights is None else weights
+        f = lambda x: float(each @ np.log(np.maximum(self._pruned(leaves, float(np.exp(x))), 1e-300)))
         c, d = b - g * (b - a), a + g * (b - a)
         fc, fd = f(c), f(d)
         while b - a > 1e-4:

@@ -159,3 +159,18 @@ def simulated_reads(t: DataFrame, length: int, per_transcript: int, seed: int) -
     r = t.filter(n >= length).select("name", "chrom", "strand", "blocks", F.explode(F.sequence(F.lit(1), F.lit(per_transcript))).alias("read"))
     at = F.pmod(F.xxhash64(F.lit(seed), "name", "read"), n - length + 1)
     return r.select("name", "read", "chrom", "strand", B.transcript_slice(F.col("blocks"), F.col("strand"), at, at + length).alias("blocks"))
+
+
+def sample_introns(t: DataFrame, seed: int) -> DataFrame:
+    """(name, intron, start_pos, end_pos): of every intron a stretch as long as the exon before it, or the whole intron if it is no longer.
+
+    The stretch is drawn among all places inside the intron by a hash of (seed, name, intron).
+    Transcripts (name, chrom, blocks) with one block give no rows.
+    """
+    pair = F.transform(F.sequence(F.lit(0), F.size("blocks") - 2), lambda i: F.struct(i.alias("intron"), F.get("blocks", i).alias("exon"), F.get("blocks", i + 1).alias("after")))
+    i = t.filter(F.size("blocks") > 1).select("name", "chrom", F.inline(pair))
+    s, e = F.col("exon.end"), F.col("after.start")
+    n = F.col("exon.end") - F.col("exon.start")
+    room = e - s - n
+    start = s + F.when(room > 0, F.pmod(F.xxhash64(F.lit(seed), "name", "intron"), room + 1)).otherwise(0)
+    return i.filter(e > s).select("name", "chrom", "intron", start.alias("start_pos"), F.least(start + n, e).alias("end_pos"))

@@ -68,3 +68,14 @@ class Ordered:
         side = border.select("_pid", *self.keys, shift("_b").over(w).alias("_far"))
         j = self._join(local, side).withColumn("_row", F.coalesce("_row", "_far"))
         return j.select(*[c for c in self.df.columns if c != "_pid"], *[F.col(f"_row.{c}").alias(c + suffix) for c in cols])
+
+
+def exact_quantile(df: DataFrame, value: str, prob: float) -> DataFrame:
+    """One row (value): the ``prob`` quantile of the non-null values, interpolated between neighbouring order statistics; null without values."""
+    v = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    o = Ordered(v, [], ["v"]).row_number("_at")
+    n = v.agg(F.count("*").alias("_n"))
+    pos = F.lit(float(prob)) * (F.col("_n") - 1)
+    near = o.join(F.broadcast(n)).withColumn("_pos", pos).filter((F.col("_at") - 1 == F.floor("_pos")) | (F.col("_at") - 1 == F.ceil("_pos")))
+    lo, hi = F.min_by("v", "_at"), F.max_by("v", "_at")
+    return near.agg((lo + (hi - lo) * F.max(F.col("_pos") - F.floor("_pos"))).alias("value"))

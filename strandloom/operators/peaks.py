@@ -10,6 +10,7 @@ from strandloom.operators import scores as S
 from strandloom.operators import setops
 from strandloom.operators import stats as T
 from strandloom.operators.join import overlap_join
+from strandloom.operators.ordered import exact_quantile
 from strandloom.operators.periods import range_numbered, sweep
 from strandloom.operators.windows import relocate
 from strandloom.session import bounded_broadcast, stage
@@ -126,7 +127,8 @@ def null_ratios(sample: DataFrame, control: DataFrame, sizes: DataFrame, size: i
 
 def ratio_permutation_peaks(sample: DataFrame, control: DataFrame, sizes: DataFrame, size: int, overlap: int, rounds: int, quantile: float, seed: int) -> DataFrame:
     """Windows above the ``quantile`` of the null ratio distribution, overlapping ones merged."""
-    cut = null_ratios(sample, control, sizes, size, overlap, rounds, seed).agg(F.percentile_approx("log2_ratio", F.lit(quantile), F.lit(100_000)).alias("cut"))
+    null = null_ratios(sample, control, sizes, size, overlap, rounds, seed).filter(F.col("log2_ratio").isNotNull())
+    cut = exact_quantile(null, "log2_ratio", quantile).withColumnRenamed("value", "cut")
     w = S.two_sample_windows(sample, control, sizes, size, overlap).join(F.broadcast(cut)).filter(F.col("log2_ratio") > F.col("cut"))
     return setops.merged(w.select("chrom", "start_pos", "end_pos"))
 
@@ -136,3 +138,66 @@ def contiguous_segments(reads: DataFrame, sizes: DataFrame, size: int, alpha: fl
     stats = S.global_stats(reads, sizes).withColumn("cut", S.critical(F.lit(float(size)), F.col("length").cast("double"), F.col("lambda"), F.lit(alpha)))
     w = S.window_counts(reads, sizes, size, size // 2).join(bounded_broadcast(stats.select("chrom", "cut")), "chrom").filter(F.col("count") >= F.col("cut"))
     return setops.merged(w.select("chrom", "start_pos", "end_pos"), touching=True)
+
+
+def annotation_enrichment(annotations: DataFrame, group: str, peaks: DataFrame, regions: DataFrame, sizes: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
+    """(group, observed, expected, enrichment, p): peaks that overlap each set of annotations, against peaks moved at random inside ``regions``.
+
+    Peaks (with unique ``key``) outside all regions don't count.  A moved peak keeps its length and chromosome and
+    lies wholly in a merged region; where none is long enough it is left out of that
+    round.  ``p`` is (rounds with at least the observed number + 1) / (rounds + 1).  Null groups are no group.
+    """
+    inside = setops.merged(regions, touching=True)
+    p = stage(overlap_join(peaks.select(key, "chrom", "start_pos", "end_pos"), inside, "left_semi"), "peaks")
+    moved = relocate(p, sizes, key, seed, rounds=rounds, masks=setops.complement(inside, sizes)).filter(F.col("start_pos").isNotNull())
+    every = stage(p.withColumn("permutation", F.lit(0)).unionByName(moved.select(*p.columns, "permutation")), "moved")
+    sets = stage(setops.merged(annotations.filter(F.col(group).isNotNull()).withColumn("_g", F.col(group)), ["chrom", "_g"], touching=True), "sets")
+    hit = overlap_join(every, sets, "inner").groupBy("_g_r", "permutation").agg(F.count_distinct(key).alias("n"))
+    grid = sets.select(F.col("_g").alias("_g_r")).distinct().withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    n = grid.join(hit, ["_g_r", "permutation"], "left").fillna(0, ["n"])
+    obs = n.filter("permutation = 0").select("_g_r", F.col("n").alias("observed"))
+    null = n.filter("permutation > 0").join(obs, "_g_r").groupBy("_g_r", "observed").agg(F.avg("n").alias("expected"), F.count_if(F.col("n") >= F.col("observed")).alias("_b"))
+    return null.select(F.col("_g_r").alias(group), "observed", "expected", F.try_divide("observed", "expected").alias("enrichment"), ((F.col("_b") + 1) / (rounds + 1)).alias("p"))
+
+
+def end_pileup(reads: DataFrame, regions: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
+    """(key, pos, n, p): 5' read ends at every place of each region, and how often the fullest place of a shuffle has as many.
+
+    In a shuffle every read end of a region goes to a place of it drawn by a hash of (seed, read, round).
+    ``reads`` has a unique rec_id; places without ends are left out.
+    """
+    tip = F.when(F.col("strand") == "-", F.col("end_pos") - 1).otherwise(F.col("start_pos"))
+    ends = reads.filter(F.col("chrom").isNotNull() & (F.col("end_pos") > F.col("start_pos"))).select("rec_id", "chrom", tip.alias("start_pos")).withColumn("end_pos", F.col("start_pos") + 1)
+    hit = stage(overlap_join(ends, regions.select(key, "chrom", "start_pos", "end_pos"), "inner").select("rec_id", F.col(f"{key}_r").alias("_k"), F.col("start_pos").alias("pos"), F.col("start_pos_r").alias("_s"), F.col("end_pos_r").alias("_e")), "ends")
+    seen = hit.groupBy("_k", "pos").agg(F.count("*").alias("n"))
+    drawn = hit.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "_k", "rec_id", "_round"), F.col("_e") - F.col("_s")))
+    top = drawn.groupBy("_k", "_round", "_at").agg(F.count("*").alias("m")).groupBy("_k", "_round").agg(F.max("m").alias("m"))
+    tops = top.groupBy("_k").agg(F.collect_list("m").alias("_tops"))  # one number a round
+    j = seen.join(tops, "_k")
+    return j.select(F.col("_k").alias(key), "pos", "n", ((F.size(F.filter("_tops", lambda m: m >= F.col("n"))) + 1) / (rounds + 1)).alias("p"))
+
+
+def skellam_divergence_peaks(sample: DataFrame, control: DataFrame, sizes: DataFrame, size: int, overlap: int, alpha: float, bins: int = 10) -> DataFrame:
+    """(chrom, start_pos, end_pos, windows, best_p, divergence): windows above the sample's own rate with a Skellam p below ``alpha``, merged.
+
+    ``divergence`` is the Kullback-Leibler divergence, in bits, of the places of the sample's reads over
+    ``bins`` equal parts of the merged region from those of the control's, one pseudo-read a part.
+    """
+    w = S.two_sample_windows(sample, control, sizes, size, overlap)
+    hit = stage(w.filter((F.col("a") >= F.col("la") * size) & (F.col("skellam_p") < alpha)).select("chrom", "start_pos", "end_pos", F.col("skellam_p").alias("p")), "hits")
+    m = stage(setops.merged(hit), "regions")
+    best = overlap_join(hit, m, "inner", contained="left").groupBy("chrom", F.col("start_pos_r").alias("start_pos"), F.col("end_pos_r").alias("end_pos")).agg(F.count("*").alias("windows"), F.min("p").alias("best_p"))
+    place = ["chrom", "start_pos", "end_pos"]
+
+    def parts(reads: DataFrame, name: str) -> DataFrame:
+        starts = reads.select("chrom", "start_pos").withColumn("end_pos", F.col("start_pos") + 1)
+        j = overlap_join(starts, m, "inner")
+        part = F.floor((F.col("start_pos") - F.col("start_pos_r")) * bins / (F.col("end_pos_r") - F.col("start_pos_r"))).cast("int")
+        return j.groupBy("chrom", F.col("start_pos_r").alias("start_pos"), F.col("end_pos_r").alias("end_pos"), part.alias("_part")).agg(F.count("*").alias(name))
+
+    grid = m.select(*place, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_part"))
+    j = grid.join(parts(sample, "_x"), [*place, "_part"], "left").join(parts(control, "_y"), [*place, "_part"], "left").fillna(0, ["_x", "_y"])
+    t = j.groupBy(*place).agg(F.sum(F.col("_x") + 1).alias("_tx"), F.sum(F.col("_y") + 1).alias("_ty"))
+    px, py = (F.col("_x") + 1) / F.col("_tx"), (F.col("_y") + 1) / F.col("_ty")
+    kl = j.join(t, place).groupBy(*place).agg(F.sum(px * F.log2(px / py)).alias("divergence"))
+    return best.join(kl, place)

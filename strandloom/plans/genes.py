@@ -280,3 +280,19 @@ def mapq_pairs(spark, d):
     r = table(spark, d, "reads").select("rec_id", "mapq", F.regexp_replace("name", "/[12]$", "").alias("frag")).filter(F.col("frag").isNotNull())
     low = r.groupBy("frag").agg(F.min("mapq").alias("q")).filter(F.col("q") >= 10).select("frag")
     return balanced_join(r, low, ["frag"], "left_semi").select("rec_id")
+
+
+@R.add("intron_samples")
+def intron_samples(spark, d):
+    """A stretch of every intron as long as the exon before it."""
+    return G.sample_introns(transcripts_of_reads(spark, d), 3)
+
+
+@R.add("annotation_enrichment")
+def annotation_enrichment(spark, d):
+    """Minus-strand intervals, as peaks, on the plus-strand ones by score band, inside stretches that reads reach."""
+    from strandloom.operators import peaks as P
+
+    bands = iv(spark, d).filter((F.col("strand") == "+") & F.col("score").isNotNull()).withColumn("band", F.concat(F.lit("b"), F.floor(F.col("score") / 250).cast("string")))
+    near = iv(spark, d).select("chrom", F.greatest(F.col("start_pos") - 50_000, F.lit(0)).alias("start_pos"), (F.col("end_pos") + 50_000).alias("end_pos"))
+    return P.annotation_enrichment(bands, "band", minus(spark, d), near, sizes(spark, d), "interval_id", 20, 5)

@@ -393,3 +393,19 @@ def unique_reads_fpkm(spark, d):
     wide = iv(spark, d).select("interval_id", "chrom", (F.col("start_pos") - 20_000).alias("start_pos"), (F.col("end_pos") + 20_000).alias("end_pos")).withColumn("length", F.col("end_pos") - F.col("start_pos"))
     f = A.fpkm(wide, mapped(spark, d).select("chrom", "start_pos", "end_pos", "weight"), "interval_id")
     return f.select("interval_id", F.round("count", 6).alias("count"), F.round("fpkm", 6).alias("fpkm"))
+
+
+# --- enrichment, pile-ups ------------------------------------------------------------------
+
+
+@R.add("skellam_divergence_peaks")
+def skellam_divergence_peaks(spark, d):
+    a, b = by_library(spark, d)
+    return P.skellam_divergence_peaks(a, b, sizes(spark, d), SIZE, OVERLAP, 0.01)
+
+
+@R.add("end_pileup")
+def end_pileup(spark, d):
+    """5' read ends within 50,000 bases of the intervals, against shuffled ends."""
+    wide = iv(spark, d).select("interval_id", "chrom", F.greatest(F.col("start_pos") - 50_000, F.lit(0)).alias("start_pos"), (F.col("end_pos") + 50_000).alias("end_pos"))
+    return P.end_pileup(mapped(spark, d), wide, "interval_id", 20, 11)

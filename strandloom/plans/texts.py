@@ -12,11 +12,14 @@ from strandloom.functions import blocks as B
 from strandloom.functions import hmm as H
 from strandloom.functions import phylo as PH
 from strandloom.functions import sequence as Q
+from strandloom.operators import conservation as CO
 from strandloom.operators import motif as MO
 from strandloom.operators import msa as MS
-from strandloom.plans.intervals import IV, iv
+from strandloom.operators.ordered import Ordered
+from strandloom.plans.intervals import IV, iv, sizes
 from strandloom.plans.reads import RD, rd
 from strandloom.plans.tables import Registry, table
+from strandloom.session import stage
 from strandloom.sources import readers as RE
 from strandloom.sources import writers as WR
 
@@ -165,16 +168,18 @@ def hmm_posteriors(spark, d):
 
 
 def pile(spark: SparkSession, d: str) -> DataFrame:
-    """The least sequence of every library in stretches of 200,000 bases, as rows of a multiple alignment."""
+    """Reads as rows of a multiple alignment: in stretches of 200,000 bases the k-th reads of all libraries are a block, where more than one library has one."""
     r = rd(spark, d).filter(F.col("chrom").isNotNull() & (F.length("seq") > 0))
     lib = F.translate(F.try_element_at("tags", F.lit("RG")), "-", "_")
-    one = r.withColumn("lib", lib).filter(F.col("lib").isNotNull()).groupBy("chrom", (F.floor(F.col("start_pos") / 200_000) * 200_000).alias("start_pos"), "lib").agg(F.min("seq").alias("text"))
-    many = one.groupBy("chrom", "start_pos").agg(F.count("*").alias("n")).filter("n > 1").select("chrom", "start_pos")
-    j = one.join(many, ["chrom", "start_pos"])
-    return j.select(F.concat_ws(":", "chrom", F.col("start_pos").cast("string")).alias("block_id"), F.lit(0.0).alias("score"), F.col("lib").alias("species"), "chrom", F.col("start_pos").alias("start"), F.length("text").cast("long").alias("size"), F.lit("+").alias("strand"), F.lit(0).cast("long").alias("src_size"), "text")
+    one = r.select("rec_id", "chrom", (F.floor(F.col("start_pos") / 200_000) * 200_000).alias("start_pos"), lib.alias("lib"), F.col("seq").alias("text")).filter(F.col("lib").isNotNull())
+    one = stage(Ordered(one, ["chrom", "start_pos", "lib"], ["rec_id"]).row_number("k"), "pile")
+    many = one.groupBy("chrom", "start_pos", "k").agg(F.count("*").alias("n")).filter("n > 1").select("chrom", "start_pos", "k")
+    j = one.join(many, ["chrom", "start_pos", "k"])
+    return j.select(F.concat_ws(":", "chrom", F.col("start_pos").cast("string"), F.col("k").cast("string")).alias("block_id"), F.lit(0.0).alias("score"), F.col("lib").alias("species"), "chrom", F.col("start_pos").alias("start"), F.length("text").cast("long").alias("size"), F.lit("+").alias("strand"), F.lit(0).cast("long").alias("src_size"), "text")
 
 
-PILE = f"""{RD}, o AS (SELECT chrom || ':' || CAST(floor(start_pos / 200000) * 200000 AS BIGINT) AS block_id, translate(tags['RG'], '-', '_') AS species, min(seq) AS text FROM rd WHERE chrom IS NOT NULL AND length(seq) > 0 AND tags['RG'] IS NOT NULL GROUP BY 1, 2),
+PILE = f"""{RD}, n AS (SELECT chrom, CAST(floor(start_pos / 200000) * 200000 AS BIGINT) AS bin, translate(tags['RG'], '-', '_') AS species, seq AS text, rec_id FROM rd WHERE chrom IS NOT NULL AND length(seq) > 0 AND tags['RG'] IS NOT NULL),
+o AS (SELECT chrom || ':' || bin || ':' || row_number() OVER (PARTITION BY chrom, bin, species ORDER BY rec_id) AS block_id, species, text FROM n),
 p AS (SELECT * FROM o WHERE block_id IN (SELECT block_id FROM o GROUP BY 1 HAVING count(*) > 1)), cells AS (SELECT block_id, species, text, unnest(range(0, length(text))) AS c FROM p)"""
 
 
@@ -221,6 +226,74 @@ def column_likelihoods(spark, d):
     return v.select("block_id", fit(F.transform("c", lambda x: x["b"])).alias("f")).select("block_id", "f.*")
 
 
+NEUTRAL = CO.Neutral(TREE)
+
+
+def alignment_sites(spark, d):
+    return stage(CO.sites(pile(spark, d), "lib_a", NEUTRAL), "sites")
+
+
+@R.add("site_rates")
+def site_rates(spark, d):
+    """Neutral likelihood, fitted rate and tree length of every alignment column."""
+    r = CO.site_rates(alignment_sites(spark, d), NEUTRAL)
+    return r.select("block_id", "column", "pattern", *[F.round(c, 6).alias(c) for c in ("log_likelihood", "omega", "lod", "tree_length")])
+
+
+@R.add("site_biases")
+def site_biases(spark, d):
+    """Fitted base bias of every alignment column."""
+    r = CO.site_biases(alignment_sites(spark, d), NEUTRAL)
+    return r.select("block_id", "column", *[F.round(c, 6).alias(c) for c in ("pi_a", "pi_c", "pi_g", "pi_t", "bias_lod")])
+
+
+def million_windows(spark, d):
+    """Stretches of a million bases of every chromosome, by name."""
+    wide = sizes(spark, d).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(1_000_000).cast("long"))).alias("start_pos")).withColumn("end_pos", F.col("start_pos") + 1_000_000)
+    return wide.withColumn("region", F.concat_ws(":", "chrom", F.col("start_pos").cast("string")))
+
+
+@R.add("region_rates")
+def region_rates(spark, d):
+    """One rate for the alignment columns inside every stretch of a million bases."""
+    return CO.region_rates(alignment_sites(spark, d), million_windows(spark, d), "region", NEUTRAL).select("region", "columns", *[F.round(c, 6).alias(c) for c in ("omega", "lod", "log_likelihood", "tree_length")])
+
+
+@R.add("window_rates")
+def window_rates(spark, d):
+    return CO.window_rates(alignment_sites(spark, d), NEUTRAL, 20, 10).select("chrom", "start_pos", "columns", *[F.round(c, 6).alias(c) for c in ("omega", "lod")])
+
+
+@R.add("mean_branch_length")
+def mean_branch_length(spark, d):
+    """Mean fitted tree length of the alignment columns in stretches of a million bases."""
+    return CO.mean_branch_length(CO.site_rates(alignment_sites(spark, d), NEUTRAL), million_windows(spark, d), "region").withColumn("mean_length", F.round("mean_length", 6))
+
+
+@R.add("conserved_states")
+def conserved_states(spark, d):
+    """Most likely neutral and biased stretches of every block."""
+    return CO.conserved_states(alignment_sites(spark, d), NEUTRAL, 10.0, 0.2).withColumn("posterior", F.round("posterior", 6))
+
+
+@R.add("conserved_motifs")
+def conserved_motifs(spark, d):
+    """Motif matches on the reference rows, and how many lie in slow columns."""
+    m = CO.conserved_motifs(pile(spark, d), "lib_a", [("ap", MOTIF)], 4.0, CO.site_rates(alignment_sites(spark, d), NEUTRAL))
+    return CO.motif_counts(m, 0.1)
+
+
+@R.add("filled_columns")
+def filled_columns(spark, d):
+    return CO.filled(alignment_sites(spark, d), NEUTRAL).select("block_id", "column", "pattern", "filled")
+
+
+@R.add("evolved_reads")
+def evolved_reads(spark, d):
+    """Every read evolved down the neutral tree."""
+    return CO.evolved(seqs(spark, d).select("id", "bases"), NEUTRAL, 7)
+
+
 # --- text forms --------------------------------------------------------------------------
 
 
