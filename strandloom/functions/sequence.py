@@ -131,9 +131,57 @@ def orfs(s: Column) -> Column:
     return run(s)
 
 
+def longest_of_each(seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the longest frame of every sequence, the first of equals; -1 without any.
+
+    All sequences are searched as one: each starts at a multiple of three, so frames agree, and no codon
+    reaches over the padding between them.
+    """
+    best = np.full((2, len(seqs)), -1, dtype=np.int64)
+    raw = [b"" if s is None else s.upper().replace("U", "T").encode("latin-1", "replace") for s in seqs]
+    size = np.array([len(r) for r in raw], dtype=np.int64)
+    room = size + 3 + (-size) % 3
+    x = np.frombuffer(b"".join(r.ljust(int(k), b"-") for r, k in zip(raw, room)), dtype=np.uint8)
+    first = np.cumsum(room) - room
+    n = len(x) - 2
+    if n < 1:
+        return best[0], best[1]
+    at = lambda c: (x[:n] == ord(c[0])) & (x[1 : n + 1] == ord(c[1])) & (x[2:] == ord(c[2]))
+    start = np.flatnonzero(at("ATG"))
+    stops = np.flatnonzero(at(STOPS[0]) | at(STOPS[1]) | at(STOPS[2]))
+    end = np.full(len(start), -1, dtype=np.int64)
+    for f in range(3):
+        mine, own = start % 3 == f, stops[stops % 3 == f]
+        k = np.searchsorted(own, start[mine])
+        end[mine] = np.where(k < len(own), np.append(own, 0)[k], -1)
+    seq = np.searchsorted(first, start, side="right") - 1
+    ok = (end >= 0) & (end < first[seq] + size[seq])
+    start, end, seq = start[ok], end[ok] + 3, seq[ok]
+    order = np.lexsort((start, start - end, seq))
+    seq, lead = np.unique(seq[order], return_index=True)
+    best[0][seq], best[1][seq] = start[order][lead] - first[seq], end[order][lead] - first[seq]
+    return best[0], best[1]
+
+
 def longest_orf(s: Column) -> Column:
-    """The longest of ``orfs``, the first of equals; null without any."""
-    return F.try_element_at(F.array_sort(F.transform(orfs(s), lambda o: F.struct((o["start"] - o["end"]).alias("neg"), o["start"].alias("start"), o["end"].alias("end")))), F.lit(1))
+    """struct<start,end>: the longest of ``orfs``, the first of equals; null without any."""
+
+    @F.pandas_udf("start int, end int")
+    def run(col: pd.Series) -> pd.DataFrame:
+        rows, parts, size = col.tolist(), [], 0
+        cuts = [0]
+        for i, x in enumerate(rows):  # about four million bases at a time
+            size += len(x or "")
+            if size > 1 << 22:
+                cuts.append(i + 1)
+                size = 0
+        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            parts.append(longest_of_each([x if isinstance(x, str) else None for x in rows[a:b]]))
+        start, end = (np.concatenate(p) for p in zip(*parts))
+        return pd.DataFrame({"start": start.astype(np.int32), "end": end.astype(np.int32)})
+
+    got = run(s)
+    return F.when(got["end"] >= 0, got)
 
 
 def flowgram(s: Column, order: str) -> Column:

@@ -109,3 +109,14 @@ def test_sequence_functions(spark):
     assert col(spark, Q.hamming(s, F.lit("ab"), True), "AC") == 1
     assert col(spark, Q.hamming(s, F.lit("abc")), "AC") is None
     assert sorted(col(spark, Q.shuffled(s, F.lit(1), 2), "AACGT")) == list("AACGT")
+
+
+def test_longest_frames_match_all_frames(spark):
+    rnd = random.Random(8)
+    seqs = ["".join(rnd.choice("ATGATGAC") for _ in range(rnd.randrange(0, 90))) for _ in range(300)] + [None, "", "ATG", "ATGTAA", "augUAAé", "TTATGéTAA", "ATGTAACATGTAA"]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, s string").repartition(3)
+    got = {r["id"]: r["o"] for r in rows.select("id", Q.longest_orf(F.col("s")).alias("o")).collect()}
+    for i, s in enumerate(seqs):
+        want = min(((a - b, a, b) for a, b, _ in Q.find_orfs(s)), default=None) if s else None
+        assert (tuple(got[i]) if got[i] else None) == (want[1:] if want else None), s
+    assert rows.limit(0).select(Q.longest_orf(F.col("s"))).count() == 0
