@@ -82,16 +82,18 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``limit`` rows in at most ``BROADCAST_BYTES``, else plain.
 
     The size is measured, not assumed: the frame is staged first, if it isn't yet, so its files can
     be weighed (up to 1 MB is small without counting), and beyond either bound the join is an
-    ordinary shuffle join.
+    ordinary shuffle join.  Where ``df`` only renames or picks columns of the staged frame ``of``,
+    that one is measured.
     """
-    s = df if hasattr(df, "_staged_path") else stage(df, "side")
-    size = stored_bytes(s)
-    return F.broadcast(s) if size <= SMALL_BYTES or (size <= BROADCAST_BYTES and s.count() <= limit) else s
+    s = df if of is not None or hasattr(df, "_staged_path") else stage(df, "side")
+    m = s if of is None else of
+    size = stored_bytes(m)
+    return F.broadcast(s) if size <= SMALL_BYTES or (size <= BROADCAST_BYTES and m.count() <= limit) else s
 
 
 def table_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
