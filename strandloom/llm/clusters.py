@@ -72,7 +72,7 @@ def row_vectors(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
         return cells.sparkSession.createDataFrame([], "id long, row string, rep long, vec array<double>")
     # A list that may be broadcast may also be numbered in one task.
     index = cols.select("col", F.row_number().over(Window.orderBy("col")).cast("long").alias("i")) if width <= BROADCAST_ROWS else Ordered(cols, [], ["col"]).row_number("i")
-    placed = cells.join(bounded_broadcast(index), "col").select("row", (F.col("i") - 1).cast("int").alias("i"), F.log2(1 + F.col("v")).alias("x"))
+    placed = cells.join(F.broadcast(index) if width <= BROADCAST_ROWS else index, "col").select("row", (F.col("i") - 1).cast("int").alias("i"), F.log2(1 + F.col("v")).alias("x"))
     once = placed.groupBy("row", "i").agg(F.max("x").alias("x"))
     got = once.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i))
@@ -299,7 +299,7 @@ def filed_rows(vectors: DataFrame, plan: Plan, tables: int, seed: int = SEED) ->
 def verified(pairs: DataFrame, vectors: DataFrame, width: int, r: float) -> DataFrame:
     """``pairs`` (a, b, ...) that are alike by the stored doubles, with their correlation ``r``."""
     one = vectors.select(F.col("id").alias("b"), F.col("vec").alias("_vb"))
-    used = vectors.join(bounded_broadcast(pairs.select(F.col("a").alias("id")).distinct()), "id", "left_semi")
+    used = vectors.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     two = bounded_broadcast(used.select(F.col("id").alias("a"), F.col("vec").alias("_va")))
     rest = pairs.columns
     both = pairs.join(one, "b").join(two, "a").select(*rest, "_va", "_vb")
@@ -361,7 +361,7 @@ def pivot_rounds(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     ids, ended = both.select(F.col("u").alias("id")).distinct(), reduce(DataFrame.unionByName, settled)
     # A row whose neighbours were all absorbed elsewhere is a pivot too, until here without members.
     alone = ids.join(ended.select("id"), "id", "left_anti")
-    pivots = bounded_broadcast(ended.filter("chosen").select(F.col("id").alias("pivot")).unionByName(alone.select(F.col("id").alias("pivot"))))
+    pivots = ended.filter("chosen").select(F.col("id").alias("pivot")).unionByName(alone.select(F.col("id").alias("pivot")))
     near = both.join(pivots, F.col("v") == F.col("pivot")).groupBy("u").agg(F.max_by("v", F.struct(F.col("r"), -F.xxhash64("v").cast("decimal(20,0)"))).alias("pivot"))
     # Pivots are the rows without a pivot among their neighbours.
     return ids.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("pivot", "id").alias("pivot"))
@@ -550,7 +550,7 @@ def _tile_links(r: float, few: int = 24):
 
 def sparse_links(vectors: DataFrame, sketches: DataFrame, width: int, n: int, r: float, tile_rows: int) -> DataFrame:
     """``LINKS`` of the rows with more than ``SPARSE`` of their cells lost with all rows, tile by tile."""
-    sparse = vectors.filter(F.size(F.array_compact("vec")) < (1 - SPARSE) * width).select("id")
+    sparse = stage(vectors.filter(F.size(F.array_compact("vec")) < (1 - SPARSE) * width).select("id"), "sparse")
     n_sparse = sparse.count()
     if not n_sparse:
         return vectors.sparkSession.createDataFrame([], LINKS)
@@ -642,7 +642,7 @@ def cluster_rows(df: DataFrame, row: str, col: str, value: str, r: float = 0.9,
     if g.pivots is None:
         placed = v.withColumn("pivot", F.col("rep"))
     else:
-        placed = v.join(bounded_broadcast(g.pivots.withColumnRenamed("id", "rep")), "rep", "left").withColumn("pivot", F.coalesce("pivot", "rep"))
+        placed = v.join(bounded_broadcast(g.pivots.withColumnRenamed("id", "rep"), of=g.pivots), "rep", "left").withColumn("pivot", F.coalesce("pivot", "rep"))
         joined = stage(components(g.chains.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("pivot"), F.col("pivot").alias("_joined")), "joined")
         placed = placed.join(bounded_broadcast(joined), "pivot", "left").withColumn("pivot", F.coalesce("_joined", "pivot"))
     varies = F.array_max("vec") > F.array_min("vec")
