@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandloom.session import shared_dir
+
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """New parquet files of a folder as a stream."""
@@ -72,7 +74,28 @@ def open_periods(stream: DataFrame, key: str, start: str, end: str, gap: int) ->
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data there is and give the result as a table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all data there is and give the result as a table in the shared folder.
+
+    The executors write every batch, so no result passes through the driver; state and progress lie in the shared
+    folder too, and are removed at the end.  ``complete`` keeps the last batch, which has all rows.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/{name}"
+    out, state = f"{root}/out", f"{root}/state"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(out))
+    fs.deleteOnExit(hadoop(root))
+    kept: list[str] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        path = f"{out}/{batch}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        while mode == "complete" and kept:
+            fs.delete(hadoop(kept.pop()), True)
+        kept.append(path)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    fs.delete(hadoop(state), True)
+    return spark.read.schema(stream.schema).parquet(*(kept or [out]))
