@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from strandloom.functions import kernels as K
 from strandloom.operators import scores as S
 from strandloom.operators import setops
 from strandloom.operators import stats as T
-from strandloom.operators.join import overlap_join
+from strandloom.operators.join import LEVEL_BITS, _level, overlap_join
 from strandloom.operators.ordered import exact_quantile
 from strandloom.operators.periods import range_numbered, sweep
 from strandloom.operators.windows import relocate
-from strandloom.session import bounded_broadcast, stage
+from strandloom.session import bounded_broadcast, parallelism, stage
 
 skellam_tail = K.arrow_udf(lambda s, c, ls, lc: K.skellam_sf(s - c - 1, ls, lc))
 poisson_tail = K.arrow_udf(lambda k, lam: K.poisson_sf(k - 1, lam))
@@ -160,21 +166,121 @@ def annotation_enrichment(annotations: DataFrame, group: str, peaks: DataFrame,
     return null.select(F.col("_g_r").alias(group), "observed", "expected", F.try_divide("observed", "expected").alias("enrichment"), ((F.col("_b") + 1) / (rounds + 1)).alias("p"))
 
 
+#: Pairs of a read end and a region that one task of ``end_pileup`` should make, and rows of a batch it gives out.
+PILEUP_PAIRS, PILEUP_ROWS = 4_000_000, 200_000
+
+
+def _piled(rounds: int, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function over rows sorted by (_cell, _shard, _side): the read ends of a cell, then its regions."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, ends = None, None
+        out, rows = [], 0
+        for b in batches:
+            num = {c: b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("_cell", "_shard", "_side", "_a", "_b", "_h")}
+            known = b.column("_b").is_valid().to_numpy(zero_copy_only=False)
+            marks = np.stack([num["_cell"], num["_shard"], num["_side"]])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if at != (cell := (int(marks[0, lo]), int(marks[1, lo]))):
+                    at, held, ends = cell, [], None
+                if num["_side"][lo] == 0:
+                    held.append(tuple(x[lo:hi] for x in (num["_a"], num["_b"], known)))
+                    continue
+                if ends is None:
+                    pos, ids, real = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+                    by = np.argsort(pos, kind="stable")
+                    ends, held = (*np.unique(pos[by], return_index=True, return_counts=True), ids[by].view(np.uint64), real[by], len(pos)), []
+                places, first, counts, ids, real, total = ends
+                s, e, h = num["_a"][lo:hi], num["_b"][lo:hi], num["_h"][lo:hi].view(np.uint64)
+                for i, (p, q) in enumerate(zip(np.searchsorted(places, s).tolist(), np.searchsorted(places, e).tolist())):
+                    if p == q:
+                        continue
+                    n = counts[p:q]
+                    if (n == 1).all():  # every shuffle has a place with one end
+                        share = np.ones(q - p)
+                    else:
+                        x, y = first[p], first[q] if q < len(first) else total
+                        with np.errstate(over="ignore"):
+                            drawn = K.xxhash64_long(ids[x:y], h[i])
+                        tops = np.sort(K.fullest_places(drawn if real[x:y].all() else np.where(real[x:y], drawn, h[i]), int(e[i] - s[i]), rounds))
+                        share = (rounds - np.searchsorted(tops, n) + 1) / (rounds + 1)
+                    out.append((b.column("_k").slice(lo + i, 1), places[p:q], n, share))
+                    rows += q - p
+                    if rows >= PILEUP_ROWS:
+                        yield give(out)
+                        out, rows = [], 0
+        yield give(out)
+
+    def give(out: list[tuple]) -> pa.RecordBatch:
+        keys, *cols = zip(*out) if out else ((), (), (), ())
+        many = np.repeat(np.arange(len(keys)), [len(x) for x in cols[0]])
+        key = pa.concat_arrays(keys).take(pa.array(many)) if out else pa.array([], arrow.field(0).type)
+        return pa.RecordBatch.from_arrays([key.cast(arrow.field(0).type), *(pa.array(np.concatenate(x) if out else [], f.type) for x, f in zip(cols, list(arrow)[1:]))], schema=arrow)
+
+    return run
+
+
 def end_pileup(reads: DataFrame, regions: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
     """(key, pos, n, p): 5' read ends at every place of each region, and how often the fullest place of a shuffle has as many.
 
-    In a shuffle every read end of a region goes to a place of it drawn by a hash of (seed, read, round).
-    ``reads`` has a unique rec_id; places without ends are left out.
+    In a shuffle every read end of a region goes to a place of it drawn by a hash of (seed, key, read, round).
+    ``reads`` has a unique rec_id; places without ends are left out.  A key of several regions pools their ends.
+
+    No pair of a read end and a region is written: both are filed by the stretch of the genome (cell) in which the region
+    starts, cells with many pairs are dealt out by region, and the draws are made region by region in a task's memory.
     """
-    tip = F.when(F.col("strand") == "-", F.col("end_pos") - 1).otherwise(F.col("start_pos"))
-    ends = reads.filter(F.col("chrom").isNotNull() & (F.col("end_pos") > F.col("start_pos"))).select("rec_id", "chrom", tip.alias("start_pos")).withColumn("end_pos", F.col("start_pos") + 1)
-    hit = stage(overlap_join(ends, regions.select(key, "chrom", "start_pos", "end_pos"), "inner").select("rec_id", F.col(f"{key}_r").alias("_k"), F.col("start_pos").alias("pos"), F.col("start_pos_r").alias("_s"), F.col("end_pos_r").alias("_e")), "ends")
+    tip = F.when(F.col("strand") == "-", F.col("end_pos") - 1).otherwise(F.col("start_pos")).cast("long")
+    whole = reads.schema["rec_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    rec = F.col("rec_id").cast("long") if whole else F.xxhash64("rec_id")
+    ends = reads.filter(F.col("chrom").isNotNull() & (F.col("end_pos") > F.col("start_pos"))).select(rec.alias("rec_id"), "chrom", tip.alias("start_pos"))
+    good = regions.filter(F.col("chrom").isNotNull() & (F.col("end_pos") > F.col("start_pos")) & F.col(key).isNotNull())
+    place = F.struct("chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+    kept = stage(good.select(F.col(key).alias("_k"), place.alias("_at")).groupBy("_k").agg(F.collect_list("_at").alias("_at")).select("_k", F.size("_at").alias("_times"), F.inline("_at")), "regions")
+    out = _pileup_by_cell(ends, kept.filter("_times = 1").drop("_times"), rounds, seed)
+    pooled = kept.filter("_times > 1").drop("_times")
+    if not pooled.isEmpty():
+        out = out.unionByName(_pileup_by_key(ends, pooled, rounds, seed))
+    return out.withColumnRenamed("_k", key)
+
+
+def _pileup_by_cell(ends: DataFrame, regions: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """``end_pileup`` of keys with one region."""
+    spark = regions.sparkSession
+    width = F.col("end_pos") - F.col("start_pos")
+    bits = lambda level: F.element_at(F.array(*[F.lit(b) for b in LEVEL_BITS]), level + 1)
+    filed = regions.withColumn("_lvl", _level(width)).withColumn("_blk", F.call_function("shiftright", "start_pos", bits(F.col("_lvl"))))
+    cells = stage(filed.groupBy("chrom", "_lvl", "_blk").agg(F.count("*").alias("_regions"), F.sum(width).alias("_bases")).withColumn("_cell", F.monotonically_increasing_id()), "cells")
+    levels = sorted(r["_lvl"] for r in cells.select("_lvl").distinct().collect())
+    # A region is no longer than a block of its level, so it ends in the block it starts in or in the next one.
+    at = [F.struct(F.lit(x).alias("_lvl"), (F.shiftright("start_pos", LEVEL_BITS[x]) - back).alias("_blk")) for x in levels or [0] for back in (0, 1)]
+    cell = ["chrom", "_lvl", "_blk"]
+    near = stage(ends.select("*", F.inline(F.array(*at))).join(bounded_broadcast(cells.select(*cell, "_cell"), of=cells), cell).select("_cell", F.col("start_pos").alias("_a"), F.col("rec_id").alias("_b")), "ends")
+    # Pairs as if ends and regions lay evenly; a share of a cell has at least 64 regions, so ends are not repeated without need.
+    pairs = F.col("_n") * F.col("_bases") / F.pow(F.lit(2.0), bits(F.col("_lvl")) + 1)
+    shares = F.greatest(F.lit(1), F.least(F.ceil(pairs / PILEUP_PAIRS), F.ceil(F.col("_regions") / 64))).cast("int")
+    work = stage(near.groupBy("_cell").agg(F.count("*").alias("_n")).join(cells, "_cell").select(*cell, "_cell", shares.alias("_shares"), pairs.alias("_pairs")), "work")
+    tasks = min(10_000, max(parallelism(spark), int((work.agg(F.sum("_pairs")).first()[0] or 0) / PILEUP_PAIRS)))
+    kind = regions.schema["_k"].dataType
+    sent = near.join(bounded_broadcast(work.select("_cell", "_shares"), of=work), "_cell")
+    sent = sent.select("_cell", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_shard"), F.lit(0).alias("_side"), "_a", "_b", F.lit(None).cast("long").alias("_h"), F.lit(None).cast(kind).alias("_k"))
+    asked = filed.join(bounded_broadcast(work.select(*cell, "_cell", "_shares"), of=work), cell)
+    asked = asked.select("_cell", F.pmod(F.xxhash64("_k"), F.col("_shares")).cast("int").alias("_shard"), F.lit(1).alias("_side"), F.col("start_pos").alias("_a"), F.col("end_pos").alias("_b"), F.xxhash64(F.lit(seed), "_k").alias("_h"), "_k")
+    schema = StructType([StructField("_k", kind), StructField("pos", LongType()), StructField("n", LongType()), StructField("p", DoubleType())])
+    return sent.unionByName(asked).repartition(tasks, "_cell", "_shard").sortWithinPartitions("_cell", "_shard", "_side").mapInArrow(_piled(rounds, schema), schema)
+
+
+def _pileup_by_key(ends: DataFrame, regions: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """``end_pileup`` of keys with several regions, through the pairs of ends and regions."""
+    ends = ends.withColumn("end_pos", F.col("start_pos") + 1)
+    hit = stage(overlap_join(ends, regions, "inner").select("rec_id", F.col("_k_r").alias("_k"), F.col("start_pos").alias("pos"), F.col("start_pos_r").alias("_s"), F.col("end_pos_r").alias("_e")), "ends")
     seen = hit.groupBy("_k", "pos").agg(F.count("*").alias("n"))
     drawn = hit.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "_k", "rec_id", "_round"), F.col("_e") - F.col("_s")))
     top = drawn.groupBy("_k", "_round", "_at").agg(F.count("*").alias("m")).groupBy("_k", "_round").agg(F.max("m").alias("m"))
     tops = top.groupBy("_k").agg(F.collect_list("m").alias("_tops"))  # one number a round
-    j = seen.join(tops, "_k")
-    return j.select(F.col("_k").alias(key), "pos", "n", ((F.size(F.filter("_tops", lambda m: m >= F.col("n"))) + 1) / (rounds + 1)).alias("p"))
+    return seen.join(tops, "_k").select("_k", "pos", "n", ((F.size(F.filter("_tops", lambda m: m >= F.col("n"))) + 1) / (rounds + 1)).alias("p"))
 
 
 def skellam_divergence_peaks(sample: DataFrame, control: DataFrame, sizes: DataFrame, size: int, overlap: int, alpha: float, bins: int = 10) -> DataFrame:

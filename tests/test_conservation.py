@@ -190,3 +190,32 @@ def test_divergence_of_equal_samples_is_small(spark):
     sizes = spark.createDataFrame([("x", 100_000)], "chrom string, length long")
     got = P.skellam_divergence_peaks(a, b, sizes, 1000, 500, 1e-3).collect()
     assert len(got) == 1 and got[0]["start_pos"] <= 42_000 < got[0]["end_pos"] and got[0]["divergence"] > 0.5
+
+
+def pileup_by_pairs(ends, regions, rounds, seed):
+    """{(key, pos): (n, p)} from every pair of an end and a region, with the hashes of SQL."""
+    by = {}
+    for r in ends.sparkSession.sql(f"SELECT r.k, e.at, pmod(xxhash64({seed}, r.k, e.rec_id, t.i), r.b - r.a) AS place, t.i FROM {{e}} e JOIN {{r}} r ON e.chrom = r.chrom AND r.a <= e.at AND e.at < r.b CROSS JOIN (SELECT explode(sequence(1, {rounds})) AS i) t", e=ends, r=regions).collect():
+        at, drawn = by.setdefault(r["k"], (Counter(), {}))
+        at[r["at"]] += r["i"] == 1
+        drawn.setdefault(r["i"], Counter())[r["place"]] += 1
+    return {(k, x): (n, (1 + sum(max(c.values()) >= n for c in drawn.values())) / (rounds + 1)) for k, (at, drawn) in by.items() for x, n in at.items()}
+
+
+@pytest.mark.parametrize("pairs", [4_000_000, 300])
+def test_end_pileup_writes_no_pairs(spark, monkeypatch, pairs):
+    rnd = random.Random(5)
+    ends = [(i, "x" if i % 5 else "y", rnd.choice([700, 1500, rnd.randrange(-40, 3000), rnd.randrange(40_000)])) for i in range(1500)]
+    # Long, short and crowded regions, one over a block's edge, and one key with two regions.
+    regions = [(f"k{i}", "x", a := rnd.randrange(-50, 3000), a + rnd.choice([1, 5, 400, 1024, 1025, 20_000])) for i in range(300)] + [("edge", "x", 1020, 1030), ("two", "x", 690, 710), ("two", "y", 0, 2000), (None, "x", 0, 10)]
+    monkeypatch.setattr(P, "PILEUP_PAIRS", pairs)
+    staged, stage = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda df, label="stage": staged.append(s := stage(df, label)) or s)
+    e, r = spark.createDataFrame(ends, "rec_id long, chrom string, at long"), spark.createDataFrame(regions, "k string, chrom string, a long, b long")
+    reads = e.selectExpr("rec_id", "chrom", "at AS start_pos", "at + 1 AS end_pos", "'+' AS strand")
+    got = P.end_pileup(reads, r.selectExpr("k", "chrom", "a AS start_pos", "b AS end_pos"), "k", 7, 3).collect()
+    want = pileup_by_pairs(e, r.filter("k IS NOT NULL"), 7, 3)
+    assert len(got) == len(want) and {(x["k"], x["pos"]): (x["n"], pytest.approx(x["p"])) for x in got} == want
+    # Ends are written at most twice a level of region lengths (three here); all pairs would be over 20,000 rows.
+    single = [x for x in staged if x.columns == ["_cell", "_a", "_b"]]
+    assert sum(want[k][0] for k in want) > 20_000 and [x.count() <= 6 * len(ends) for x in single] == [True]
