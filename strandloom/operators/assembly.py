@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +61,22 @@ def k_paths(edges: dict[int, list[tuple[int, float]]], sources: list[int], sinks
     Heaviest first; equal weights by their nodes.  Each source is searched on its own, so no
     source's paths push out another's.
     """
-    nodes = sorted({*edges, *sources, *(t for e in edges.values() for t, _ in e)})
     out = []
     for s in sources:
+        # Only what ``s`` reaches is visited: a locus may have as many sources as nodes.
         best: dict[int, list[tuple[float, list[int]]]] = {s: [(0.0, [s])]}
-        for n in nodes[bisect_left(nodes, s) :]:
+        ahead = [s]
+        while ahead:
+            n = heappop(ahead)
             # All edges into ``n`` come from lesser nodes, so its paths are complete here.
-            paths = sorted(best.pop(n, ()), key=lambda x: (-x[0], x[1]))[:k]
+            paths = sorted(best.pop(n), key=lambda x: (-x[0], x[1]))[:k]
             if n in sinks:
                 out += paths
-            for t, w in edges.get(n, ()) if paths else ():
-                best.setdefault(t, []).extend((c + w, [*p, t]) for c, p in paths)
+            for t, w in edges.get(n, ()):
+                if t not in best:
+                    heappush(ahead, t)
+                    best[t] = []
+                best[t] += [(c + w, [*p, t]) for c, p in paths]
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 

@@ -32,6 +32,24 @@ def test_k_paths_of_every_source_sink_pair():
         assert A.k_paths(edges, sources, sinks, 3) == sorted(want, key=lambda x: (-x[0], x[1]))
 
 
+def test_k_paths_visits_only_what_a_source_reaches():
+    class Asked(set):
+        times = 0
+
+        def __contains__(self, n):
+            self.times += 1
+            return super().__contains__(n)
+
+    # A locus of the check tables: many pieces under one long junction, few of them with edges.
+    n = 2000
+    edges = {3 * i: [(3 * i + 1, 2.0)] for i in range(n)}
+    sinks = Asked(x for i in range(n) for x in (3 * i + 1, 3 * i + 2))
+    sources = sorted(x for i in range(n) for x in (3 * i, 3 * i + 2))
+    got = A.k_paths(edges, sources, sinks, 20)
+    assert got == [(2.0, [3 * i, 3 * i + 1]) for i in range(n)] + [(0.0, [3 * i + 2]) for i in range(n)]
+    assert sinks.times <= 4 * n
+
+
 def test_hot_locus_keeps_the_paths_of_weak_pairs(spark):
     # Sources 0 and 10 lead to a hub, the hub to sinks 300 and 400; 10 and 400 have fewer reads.
     v = [(0, 5), (10, 15), (100, 105), (300, 305), (400, 405)] + [(200 + 2 * i, 201 + 2 * i) for i in range(4)]
