@@ -11,7 +11,7 @@ from strandloom.functions import blocks as B
 from strandloom.operators import setops
 from strandloom.operators.grouped import grouped_map
 from strandloom.operators.join import overlap_join
-from strandloom.session import stage
+from strandloom.session import bounded_broadcast, stage
 
 MAX_PATHS = 10_000
 
@@ -43,10 +43,11 @@ def splice_graph(reads: DataFrame, least_reads: int = 3, least_share: float = 0.
     j = stage(low_junction_filter(stage(junctions(reads), "junctions"), least_reads, least_share), "junctions")
     ex = stage(exon_islands(reads), "exons")
     cuts = j.select("chrom", F.explode(F.array("start_pos", "end_pos")).alias("start_pos")).distinct().withColumn("end_pos", F.col("start_pos") + 1)
-    hit = overlap_join(ex, cuts, "left")
-    per = hit.groupBy("chrom", "start_pos", "end_pos").agg(F.array_sort(F.collect_set("start_pos_r")).alias("_c"))
+    per = stage(overlap_join(ex, cuts, "inner").groupBy("chrom", "start_pos", "end_pos").agg(F.array_sort(F.collect_set("start_pos_r")).alias("_c")), "cut")
+    whole = ex.join(bounded_broadcast(per.select("chrom", "start_pos", "end_pos"), of=per), ["chrom", "start_pos", "end_pos"], "left_anti")
     pts = F.array_distinct(F.concat(F.array("start_pos"), "_c", F.array("end_pos")))
     v = per.withColumn("_p", F.array_sort(pts)).select("chrom", F.inline(F.filter(F.zip_with(F.slice("_p", 1, F.size("_p") - 1), F.slice("_p", 2, F.size("_p")), lambda a, b: F.struct(a.alias("start_pos"), b.alias("end_pos"))), lambda x: x["start_pos"] < x["end_pos"])))
+    v = v.unionByName(whole.select("chrom", "start_pos", "end_pos"))
     v = stage(v, "vertices")
     left = v.select("chrom", F.col("start_pos").alias("from_start"), F.col("end_pos").alias("at"))
     right = v.select("chrom", F.col("start_pos").alias("to_start"))
@@ -80,15 +81,17 @@ def k_paths(edges: dict[int, list[tuple[int, float]]], sources: list[int], sinks
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
-def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS) -> DataFrame:
+def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS, single: bool = True) -> DataFrame:
     """(chrom, locus, path, weight, blocks): source-to-sink paths, the ``k`` heaviest of each source-sink pair of a locus.
 
-    Loci are the stretches joined by vertices and edges; one locus is one task's work,
+    Loci are the stretches joined by vertices, which are disjoint, and edges; one locus is one task's work,
     chromosomes are not.  Path enumeration is exponential by nature; ``k`` bounds it per pair.
+    Loci of one vertex without edges are paths of one block, left out unless ``single``.
     """
     ends = vertices.select("chrom", F.col("start_pos").alias("to_start"), "end_pos")
     spans = edges.join(ends, ["chrom", "to_start"]).select("chrom", F.col("from_start").alias("start_pos"), "end_pos")
-    loci = stage(setops.merged(vertices.select("chrom", "start_pos", "end_pos").unionByName(spans)), "loci")
+    # Spans begin and end with a vertex, so a vertex lies in one or apart from all.
+    loci = stage(setops.merged(spans), "loci")
     v = overlap_join(vertices, loci, "inner", contained="left").select("chrom", F.col("start_pos_r").alias("locus"), F.col("start_pos").alias("a"), F.col("end_pos").alias("b"), F.lit(None).cast("double").alias("w"), F.lit("v").alias("kind"))
     e = edges.withColumn("start_pos", F.col("from_start")).withColumn("end_pos", F.col("from_start") + 1)
     e = overlap_join(e, loci, "inner").select("chrom", F.col("start_pos_r").alias("locus"), F.col("from_start").alias("a"), F.col("to_start").alias("b"), F.coalesce("reads", F.lit(0)).cast("double").alias("w"), F.lit("e").alias("kind"))
@@ -113,11 +116,11 @@ def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS) -> Da
         return rows
 
     out = f"chrom string, locus long, path int, weight double, blocks {B.BLOCKS}"
-    # A locus without edges is a single piece and needs no search.
-    parts = stage(v.unionByName(e), "loci")
-    linked = parts.filter("kind = 'e'").select("chrom", "locus").distinct()
-    alone = parts.join(linked, ["chrom", "locus"], "left_anti").select("chrom", "locus", F.lit(0).alias("path"), F.lit(0.0).alias("weight"), F.array(B.block(F.col("a"), F.col("b"))).alias("blocks"))
-    return grouped_map(parts.join(linked, ["chrom", "locus"], "left_semi"), ["chrom", "locus"], run, out).unionByName(alone)
+    paths = grouped_map(v.unionByName(e), ["chrom", "locus"], run, out)
+    if not single:
+        return paths
+    alone = overlap_join(vertices, loci, "left_anti").select("chrom", F.col("start_pos").alias("locus"), F.lit(0).alias("path"), F.lit(0.0).alias("weight"), F.array(B.block(F.col("start_pos"), F.col("end_pos"))).alias("blocks"))
+    return paths.unionByName(alone)
 
 
 def fpkm(t: DataFrame, reads: DataFrame, key: str) -> DataFrame:

@@ -377,7 +377,7 @@ def dominance_filter(spark, d):
 def splice_transcripts(spark, d):
     """Transcript paths through the splice graph of all reads."""
     v, e = A.splice_graph(mapped(spark, d).select("chrom", "blocks", "weight"), 1, 0.05)
-    t = A.transcripts(v, e, 20)
+    t = A.transcripts(v, e, 20, single=False)
     return t.filter(F.size("blocks") > 1).select("chrom", "locus", "path", "weight", "blocks")
 
 

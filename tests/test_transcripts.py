@@ -60,3 +60,13 @@ def test_hot_locus_keeps_the_paths_of_weak_pairs(spark):
     for r in A.transcripts(vertices, edges, 3).collect():
         got[r["blocks"][0]["start"], r["blocks"][-1]["start"]] += 1
     assert got == {(0, 300): 3, (0, 400): 3, (10, 300): 3, (10, 400): 3}
+
+
+def test_pieces_apart_from_junctions(spark):
+    # One locus of an edge over a piece without edges, and a piece apart from it.
+    vertices = spark.createDataFrame([("c", *x) for x in [(0, 5), (7, 9), (20, 30), (40, 50)]], "chrom string, start_pos long, end_pos long")
+    edges = spark.createDataFrame([("c", 0, 20, 4)], "chrom string, from_start long, to_start long, reads long")
+    locus = {(0, 0, 4.0, ((0, 5), (20, 30))), (0, 1, 0.0, ((7, 9),))}
+    for single, apart in ((True, {(40, 0, 0.0, ((40, 50),))}), (False, set())):
+        got = {(r["locus"], r["path"], r["weight"], tuple((b["start"], b["end"]) for b in r["blocks"])) for r in A.transcripts(vertices, edges, 3, single).collect()}
+        assert got == locus | apart
