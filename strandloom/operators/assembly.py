@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import blocks as B
 from strandloom.operators import setops
 from strandloom.operators.grouped import grouped_map
-from strandloom.operators.join import overlap_join
+from strandloom.operators.join import _carried, overlap_join
 from strandloom.session import bounded_broadcast, stage
 
 MAX_PATHS = 10_000
@@ -92,7 +92,12 @@ def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS, singl
     spans = edges.join(ends, ["chrom", "to_start"]).select("chrom", F.col("from_start").alias("start_pos"), "end_pos")
     # Spans begin and end with a vertex, so a vertex lies in one or apart from all.
     loci = stage(setops.merged(spans), "loci")
-    v = overlap_join(vertices, loci, "inner", contained="left").select("chrom", F.col("start_pos_r").alias("locus"), F.col("start_pos").alias("a"), F.col("end_pos").alias("b"), F.lit(None).cast("double").alias("w"), F.lit("v").alias("kind"))
+    opened = loci.select("chrom", F.col("start_pos").alias("_pos"), F.lit(0).alias("_side"), "start_pos", "end_pos", F.struct("start_pos", "end_pos").alias("_at"))
+    placed = opened.unionByName(vertices.select("chrom", F.col("start_pos").alias("_pos"), F.lit(1).alias("_side"), "start_pos", "end_pos", F.lit(None).cast(opened.schema["_at"].dataType).alias("_at")))
+    # The last locus that starts up to a vertex holds it, or none does.
+    near = _carried(placed.withColumnRenamed("chrom", "_chrom"), ["_pos", "_side"], {"_in": ("_at", False)}).filter("_side = 1")
+    inside = F.coalesce(F.col("_in.end_pos") > F.col("start_pos"), F.lit(False))
+    v = near.filter(inside).select(F.col("_chrom").alias("chrom"), F.col("_in.start_pos").alias("locus"), F.col("start_pos").alias("a"), F.col("end_pos").alias("b"), F.lit(None).cast("double").alias("w"), F.lit("v").alias("kind"))
     e = edges.withColumn("start_pos", F.col("from_start")).withColumn("end_pos", F.col("from_start") + 1)
     e = overlap_join(e, loci, "inner").select("chrom", F.col("start_pos_r").alias("locus"), F.col("from_start").alias("a"), F.col("to_start").alias("b"), F.coalesce("reads", F.lit(0)).cast("double").alias("w"), F.lit("e").alias("kind"))
 
@@ -119,7 +124,7 @@ def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS, singl
     paths = grouped_map(v.unionByName(e), ["chrom", "locus"], run, out)
     if not single:
         return paths
-    alone = overlap_join(vertices, loci, "left_anti").select("chrom", F.col("start_pos").alias("locus"), F.lit(0).alias("path"), F.lit(0.0).alias("weight"), F.array(B.block(F.col("start_pos"), F.col("end_pos"))).alias("blocks"))
+    alone = near.filter(~inside).select(F.col("_chrom").alias("chrom"), F.col("start_pos").alias("locus"), F.lit(0).alias("path"), F.lit(0.0).alias("weight"), F.array(B.block(F.col("start_pos"), F.col("end_pos"))).alias("blocks"))
     return paths.unionByName(alone)
 
 
