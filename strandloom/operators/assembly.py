@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
+from math import inf
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandloom.functions import blocks as B
 from strandloom.operators import setops
-from strandloom.operators.grouped import grouped_map
 from strandloom.operators.join import _carried, overlap_join
-from strandloom.session import bounded_broadcast, stage
+from strandloom.operators.ordered import Ordered
+from strandloom.session import bounded_broadcast, discard, stage
 
 MAX_PATHS = 10_000
 
@@ -81,51 +86,146 @@ def k_paths(edges: dict[int, list[tuple[int, float]]], sources: list[int], sinks
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
-def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS, single: bool = True) -> DataFrame:
-    """(chrom, locus, path, weight, blocks): source-to-sink paths, the ``k`` heaviest of each source-sink pair of a locus.
+class _Pieces:
+    """Connected pieces of a graph whose edges come by their lesser node, each given out once no later edge can reach it.
 
-    Loci are the stretches joined by vertices, which are disjoint, and edges; one locus is one task's work,
-    chromosomes are not.  Path enumeration is exponential by nature; ``k`` bounds it per pair.
-    Loci of one vertex without edges are paths of one block, left out unless ``single``.
+    Only the pieces that span the place at hand are held, so memory doesn't grow with the graph.
     """
-    ends = vertices.select("chrom", F.col("start_pos").alias("to_start"), "end_pos")
-    spans = edges.join(ends, ["chrom", "to_start"]).select("chrom", F.col("from_start").alias("start_pos"), "end_pos")
-    # Spans begin and end with a vertex, so a vertex lies in one or apart from all.
-    loci = stage(setops.merged(spans), "loci")
-    opened = loci.select("chrom", F.col("start_pos").alias("_pos"), F.lit(0).alias("_side"), "start_pos", "end_pos", F.struct("start_pos", "end_pos").alias("_at"))
-    placed = opened.unionByName(vertices.select("chrom", F.col("start_pos").alias("_pos"), F.lit(1).alias("_side"), "start_pos", "end_pos", F.lit(None).cast(opened.schema["_at"].dataType).alias("_at")))
-    # The last locus that starts up to a vertex holds it, or none does.
-    near = _carried(placed.withColumnRenamed("chrom", "_chrom"), ["_pos", "_side"], {"_in": ("_at", False)}).filter("_side = 1")
-    inside = F.coalesce(F.col("_in.end_pos") > F.col("start_pos"), F.lit(False))
-    v = near.filter(inside).select(F.col("_chrom").alias("chrom"), F.col("_in.start_pos").alias("locus"), F.col("start_pos").alias("a"), F.col("end_pos").alias("b"), F.lit(None).cast("double").alias("w"), F.lit("v").alias("kind"))
-    e = edges.withColumn("start_pos", F.col("from_start")).withColumn("end_pos", F.col("from_start") + 1)
-    e = overlap_join(e, loci, "inner").select("chrom", F.col("start_pos_r").alias("locus"), F.col("from_start").alias("a"), F.col("to_start").alias("b"), F.coalesce("reads", F.lit(0)).cast("double").alias("w"), F.lit("e").alias("kind"))
-
-    def run(g: dict[str, list]) -> list[tuple]:
-        end, after = {}, {}
-        for a, b, w, kind in zip(g["a"], g["b"], g["w"], g["kind"]):
-            if kind == "v":
-                end[a] = b
-            else:
-                after.setdefault(a, []).append((b, w))
-        targets = {t for x in after.values() for t, _ in x}
-        rows = []
-        for i, (w, p) in enumerate(k_paths(after, sorted(n for n in end if n not in targets), {n for n in end if n not in after}, k)):
+
+    def __init__(self) -> None:
+        self.of: dict[int, _Piece] = {}
+        self.open: list[tuple[int, int, _Piece]] = []
+        self.n = 0
+
+    def add(self, a: int, a_end: int, b: int, b_end: int, w: float) -> None:
+        p, q = self.of.get(a), self.of.get(b)
+        if p is None or q is not None and len(q.end) > len(p.end):
+            p, q = q, p
+        if p is None:
+            p = _Piece()
+        was = p.last
+        if q is not None and q is not p:
+            for n in q.end:
+                self.of[n] = p
+            p.end.update(q.end)
+            p.after.update(q.after)
+            p.last = max(p.last, q.last)
+            q.end, q.after, q.last = {}, {}, None
+        self.of[a] = self.of[b] = p
+        p.end[a], p.end[b] = a_end, b_end
+        p.after.setdefault(a, []).append((b, w))
+        p.last = b if p.last is None else max(p.last, b)
+        if p.last != was:
+            self.n += 1
+            heappush(self.open, (p.last, self.n, p))
+
+    def before(self, at: float) -> Iterator[_Piece]:
+        """Pieces that end before ``at``, the least lesser node still to come."""
+        while self.open and self.open[0][0] < at:
+            last, _, p = heappop(self.open)
+            if p.last == last:
+                for n in p.end:
+                    del self.of[n]
+                p.last = None
+                yield p
+
+
+class _Piece:
+    """Nodes with their ends, edges by their lesser node, and the greatest node (none of a piece that was given out or joined to another)."""
+
+    __slots__ = ("end", "after", "last")
+
+    def __init__(self) -> None:
+        self.end: dict[int, int] = {}
+        self.after: dict[int, list[tuple[int, float]]] = {}
+        self.last: int | None = None
+
+
+def _piece_paths(p: _Piece, k: int, least_blocks: int) -> Iterator[tuple[float, list[int], list[dict[str, int]]]]:
+    """(weight, nodes, blocks) of a piece's paths, one source's at a time."""
+    end, after = p.end, p.after
+    targets = {t for x in after.values() for t, _ in x}
+    sinks = {n for n in end if n not in after}
+    for s in sorted(n for n in end if n not in targets):
+        for w, path in k_paths(after, [s], sinks, k):
             bl: list[dict[str, int]] = []
-            for n in p:
+            for n in path:
                 if bl and bl[-1]["end"] == n:
                     bl[-1]["end"] = end[n]
                 else:
                     bl.append({"start": n, "end": end[n]})
-            rows.append((g["chrom"][0], g["locus"][0], i, w, bl))
-        return rows
-
-    out = f"chrom string, locus long, path int, weight double, blocks {B.BLOCKS}"
-    paths = grouped_map(v.unionByName(e), ["chrom", "locus"], run, out)
-    if not single:
-        return paths
-    alone = near.filter(~inside).select(F.col("_chrom").alias("chrom"), F.col("start_pos").alias("locus"), F.lit(0).alias("path"), F.lit(0.0).alias("weight"), F.array(B.block(F.col("start_pos"), F.col("end_pos"))).alias("blocks"))
-    return paths.unionByName(alone)
+            if len(bl) >= least_blocks:
+                yield w, path, bl
+
+
+def _locus_paths(edges: DataFrame, k: int, least_blocks: int) -> DataFrame:
+    """(chrom, locus, weight, nodes, blocks): the paths of every locus, from (chrom, locus, a, a_end, b, b_end, w) edges.
+
+    The edges of a locus come in order and leave with their piece: no locus, nor its paths, is ever held whole.
+    """
+    schema = StructType.fromDDL(f"chrom string, locus long, weight double, nodes array<bigint>, blocks {B.BLOCKS}")
+    arrow = to_arrow_schema(schema)
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            locus, pieces = None, _Pieces()
+            done = lambda at: ((*locus, *x) for p in pieces.before(at) for x in _piece_paths(p, k, least_blocks))
+            for b in batches:
+                for chrom, key, *edge in zip(*[b.column(c).to_pylist() for c in ("chrom", "locus", "a", "a_end", "b", "b_end", "w")]):
+                    if locus != (chrom, key):
+                        yield from done(inf)
+                        locus = chrom, key
+                    yield from done(edge[0])
+                    pieces.add(*edge)
+            yield from done(inf)
+
+        held, nodes = [], 0
+        for r in rows():
+            held.append(r)
+            nodes += len(r[3])
+            if nodes > 50_000:
+                yield emit(held)
+                held, nodes = [], 0
+        yield emit(held)
+
+    return edges.repartition("chrom", "locus").sortWithinPartitions("chrom", "locus", "a", "b").mapInArrow(run, schema)
+
+
+def transcripts(vertices: DataFrame, edges: DataFrame, k: int = MAX_PATHS, single: bool = True, least_blocks: int = 1) -> DataFrame:
+    """(chrom, locus, path, weight, blocks): source-to-sink paths, the ``k`` heaviest of each source-sink pair of a locus.
+
+    Loci are the stretches joined by vertices, which are disjoint, and edges; one locus is one task's work,
+    chromosomes are not.  Path enumeration is exponential by nature; ``k`` bounds it per pair.
+    Loci of one vertex without edges are paths of one block, left out unless ``single``.  Paths of less than
+    ``least_blocks`` blocks are left out before the others are numbered, heaviest first.
+    """
+    ends = lambda side: vertices.select("chrom", F.col("start_pos").alias(f"{side}_start"), F.col("end_pos").alias(f"{side}_end"))
+    e = edges.join(ends("to"), ["chrom", "to_start"]).join(ends("from"), ["chrom", "from_start"])
+    e = stage(e.select("chrom", F.col("from_start").alias("a"), F.col("from_end").alias("a_end"), F.col("to_start").alias("b"), F.col("to_end").alias("b_end"), F.coalesce("reads", F.lit(0)).cast("double").alias("w")), "spans")
+    # Spans begin and end with a vertex, so a vertex lies in one or apart from all.
+    loci = stage(setops.merged(e.select("chrom", F.col("a").alias("start_pos"), F.col("b_end").alias("end_pos"))), "loci")
+    placed = e if least_blocks > 1 else e.unionByName(
+        vertices.select("chrom", F.col("start_pos").alias("a"), F.col("end_pos").alias("a_end")).join(e.select("chrom", F.explode(F.array("a", "b")).alias("a")), ["chrom", "a"], "left_anti"), allowMissingColumns=True
+    )
+    opened = loci.select(F.col("chrom").alias("_chrom"), F.col("start_pos").alias("_pos"), F.lit(0).alias("_side"), F.struct("start_pos", "end_pos").alias("_at"))
+    placed = opened.unionByName(placed.withColumnRenamed("chrom", "_chrom").withColumn("_pos", F.col("a")).withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    # The last locus that starts up to a vertex holds it, or none does.
+    near = _carried(placed, ["_pos", "_side"], {"_in": ("_at", False)}).filter("_side = 1").withColumnRenamed("_chrom", "chrom")
+    found = _locus_paths(near.filter("b IS NOT NULL").select("chrom", F.col("_in.start_pos").alias("locus"), "a", "a_end", "b", "b_end", "w"), k, least_blocks)
+    if least_blocks <= 1:
+        inside = F.coalesce(F.col("_in.end_pos") > F.col("a"), F.lit(False))
+        alone = near.filter(F.col("b").isNull() & (inside | F.lit(single)))
+        locus = F.when(inside, F.col("_in.start_pos")).otherwise(F.col("a"))
+        found = found.unionByName(alone.select("chrom", locus.alias("locus"), F.lit(0.0).alias("weight"), F.array("a").alias("nodes"), F.array(B.block(F.col("a"), F.col("a_end"))).alias("blocks")))
+    # Numbered by a sort of all loci: a locus may have any number of paths.
+    paths = stage(found, "paths")
+    numbered = Ordered(paths, ["chrom", "locus"], ["-weight", "nodes"])
+    discard(paths)
+    return numbered.row_number().select("chrom", "locus", (F.col("place") - 1).cast("int").alias("path"), "weight", "blocks")
 
 
 def fpkm(t: DataFrame, reads: DataFrame, key: str) -> DataFrame:

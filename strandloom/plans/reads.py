@@ -377,8 +377,8 @@ def dominance_filter(spark, d):
 def splice_transcripts(spark, d):
     """Transcript paths through the splice graph of all reads."""
     v, e = A.splice_graph(mapped(spark, d).select("chrom", "blocks", "weight"), 1, 0.05)
-    t = A.transcripts(v, e, 20, single=False)
-    return t.filter(F.size("blocks") > 1).select("chrom", "locus", "path", "weight", "blocks")
+    # A path of two blocks has a junction's reads and so comes before all of one: the numbers don't depend on these.
+    return A.transcripts(v, e, 20, single=False, least_blocks=2)
 
 
 @R.add("gc_windows", "WITH s AS (SELECT rec_id, seq, unnest(range(0, length(seq) - 12 + 1, 6)) AS start FROM reads WHERE length(seq) >= 12) SELECT rec_id, start, round((12 - length(replace(replace(seq[start + 1:start + 12], 'G', ''), 'C', ''))) / 12, 6) AS gc FROM s")

@@ -70,3 +70,40 @@ def test_pieces_apart_from_junctions(spark):
     for single, apart in ((True, {(40, 0, 0.0, ((40, 50),))}), (False, set())):
         got = {(r["locus"], r["path"], r["weight"], tuple((b["start"], b["end"]) for b in r["blocks"])) for r in A.transcripts(vertices, edges, 3, single).collect()}
         assert got == locus | apart
+
+
+def test_pieces_leave_when_no_later_edge_reaches_them():
+    rng = random.Random(6)
+    for _ in range(50):
+        edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(30)})
+        root = list(range(60))
+        for a, b in edges:
+            root = [root[a] if r == root[b] else r for r in root]
+        want = sorted(sorted(e for e in edges if root[e[0]] == r) for r in {root[a] for a, _ in edges})
+        pieces, got = A._Pieces(), []
+        for a, b in edges:
+            got += [(a, p) for p in pieces.before(a)]
+            pieces.add(a, a + 1, b, b + 1, 1.0)
+        got += [(61, p) for p in pieces.before(61)]
+        assert all(max(p.end) < at for at, p in got)
+        assert sorted(sorted((a, b) for a, x in p.after.items() for b, _ in x) for _, p in got) == want
+        assert not pieces.of and not pieces.open
+
+    # One long junction holds a locus together, but only itself and the piece at hand are held.
+    pieces, most, out = A._Pieces(), 0, 0
+    pieces.add(0, 1, 10**6, 10**6 + 1, 1.0)
+    for i in range(1, 5000):
+        out += len(list(pieces.before(10 * i)))
+        pieces.add(10 * i, 10 * i + 1, 10 * i + 5, 10 * i + 6, 2.0)
+        most = max(most, len(pieces.of), len(pieces.open))
+    assert most == 4 and out == 4998
+
+
+def test_paths_of_a_locus_are_numbered_heaviest_first(spark):
+    # Chromosome c: one locus of three pieces and a vertex without edges; d: another locus.
+    vertices = spark.createDataFrame([("c", *x) for x in [(0, 5), (5, 8), (10, 12), (20, 24), (30, 35), (40, 44), (50, 51), (90, 99)]] + [("d", 0, 5), ("d", 9, 12)], "chrom string, start_pos long, end_pos long")
+    edges = spark.createDataFrame([("c", 0, 5, None), ("c", 5, 90, 7), ("c", 0, 90, 2), ("c", 10, 40, 3), ("c", 20, 30, 9), ("d", 0, 9, 1)], "chrom string, from_start long, to_start long, reads long")
+    paths = [(9.0, ((20, 24), (30, 35))), (7.0, ((0, 8), (90, 99))), (3.0, ((10, 12), (40, 44))), (2.0, ((0, 5), (90, 99))), (0.0, ((50, 51),))]
+    for least in (1, 2):
+        got = sorted((r["chrom"], r["locus"], r["path"], r["weight"], tuple((b["start"], b["end"]) for b in r["blocks"])) for r in A.transcripts(vertices, edges, 3, False, least).collect())
+        assert got == [("c", 0, i, *p) for i, p in enumerate(paths) if len(p[1]) >= least] + [("d", 0, 0, 1.0, ((0, 5), (9, 12)))]
